@@ -85,11 +85,15 @@ def span_counts(spans: Column, names: SpanNames = SpanNames()) -> dict[str, Colu
         "call_llm_exec_count": count_spans(spans, lambda s: names.is_model_call(s["name"])),
         "tool_call_count": count_spans(spans, lambda s: names.is_tool_call(s["name"])),
     }
-    for label, span in names.tools:
-        counters[label] = count_spans(spans, lambda s, span=span: s["name"] == span)
+    for label, tool in names.tools:
+        counters[label] = count_spans(spans, _is_named(tool))
     return counters
 
 
+def _is_named(tool: str):
+    return lambda span: span["name"] == tool
+
+
 def token_total(spans: Column, names: SpanNames = SpanNames()) -> Column:
     """Tokens over the model-call spans.
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Filter keys the index knows, and the plural names also accepted for sources.
 FILTER_KEYS = frozenset({"source_dataset", "make_norm", "model_year", "component_group", "oem_group"})
@@ -121,6 +122,7 @@ def _one_pass(
     if not rows:
         return source.sparkSession.createDataFrame([], schema)
     matrix = _unit_rows(np.asarray([r["_v"] for r in rows], dtype=np.float64))
+    label_type = to_arrow_type(id_type)
     shared = source.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _one_pass(
                 best[q] = merged.sort_by([("score", "descending"), (id_col, "ascending")]).slice(0, k)
         for q, table in enumerate(best):
             if table is not None and table.num_rows:
-                label = pa.array([names[q]] * table.num_rows)
+                label = pa.array([names[q]] * table.num_rows, label_type)
                 out = table.append_column(query_id, label).select([query_id, "score", *kept])
                 yield from out.combine_chunks().to_batches()
 

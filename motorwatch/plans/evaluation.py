@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,9 @@ def triage(results: DataFrame, cite_ok: Column, judge: Column) -> DataFrame:
     return failed.groupBy(bucket).agg(F.count("*").alias("n"))
 
 
-def worst(results: DataFrame, k: int = 2) -> DataFrame:
+def worst(results: DataFrame, k: int = 2, ties: Sequence[str] = ("question",)) -> DataFrame:
     """The ``k`` lowest scores, a missing score counting as 0."""
-    return results.orderBy(F.coalesce("score", F.lit(0.0)), "question").limit(k)
+    return results.orderBy(F.coalesce("score", F.lit(0.0)), *ties).limit(k)
 
 
 def gate(metrics: DataFrame) -> DataFrame:

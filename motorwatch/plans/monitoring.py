@@ -40,6 +40,23 @@ def trace_view(
     )
 
 
+def counts_from_span_rows(
+    spans: DataFrame, trace: str = "trace_id", name: str = "name", attributes: str = "attributes", names: SpanNames = SpanNames()
+) -> DataFrame:
+    """The counters of :func:`trace_view` for spans stored one per row.
+
+    Counts and sums combine before the shuffle, so a trace with very many spans stays cheap.
+    """
+    span = F.col(name)
+    tokens = F.when(names.is_model_call(span), names.tokens(F.col(attributes))).otherwise(F.lit(0))
+    return spans.groupBy(trace).agg(
+        F.count_if(names.is_model_call(span)).alias("call_llm_exec_count"),
+        F.count_if(names.is_tool_call(span)).alias("tool_call_count"),
+        *[F.count_if(span == tool).alias(label) for label, tool in names.tools],
+        F.sum(tokens.cast("bigint")).alias("total_tokens_used"),
+    )
+
+
 def unscored(traces: DataFrame, endpoint: str | None = None) -> DataFrame:
     """Traces without any assessment whose response has text, with that text."""
     df = traces if endpoint is None else traces.where(F.col("tags")["model_serving_endpoint_name"] == endpoint)

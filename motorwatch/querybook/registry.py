@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}
-_MODULES = ("ingestion", "typing", "reporting")
+_MODULES = ("ingestion", "typing", "reporting", "texts", "search", "traces", "answers", "sessions")
 
 
 class Tables:

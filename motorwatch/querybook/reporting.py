@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +18,23 @@ _TODAY = f"DATE '{feeds.AS_OF}'"
 
 
 class Star:
-    """Typed tables, facts and dimensions as plans over the given tables; nothing is run here."""
+    """Typed tables, facts and dimensions as plans over the given tables, made when asked for."""
 
     def __init__(self, t: Tables):
-        day = feeds.as_of()
-        self.recalls = typed.recalls(feeds.raw_recalls(t), day)
-        self.complaints = typed.complaints(feeds.raw_complaints(t), day)
-        self.investigations = typed.investigations(feeds.raw_investigations(t), day)
-        self.bulletins = typed.bulletins(feeds.raw_bulletins(t), day)
-        self.recalls_fact = star.recalls_fact(self.recalls)
-        self.complaints_fact = star.complaints_fact(self.complaints)
-        self.investigations_fact = star.investigations_fact(self.investigations)
-        self.bulletins_fact = star.bulletins_fact(self.bulletins)
-
-    @lru_cache
+        self._t = t
+
+    def __getattr__(self, name: str) -> DataFrame:
+        base, _, kind = name.partition("_")
+        if kind == "fact":
+            return getattr(star, name)(getattr(self, base))
+        return getattr(typed, base)(getattr(feeds, f"raw_{base}")(self._t), feeds.as_of())
+
     def vehicles(self, *names: str) -> DataFrame:
         return star.dim_vehicle(*[getattr(self, n) for n in names])
 
-    @lru_cache
     def components(self, *names: str) -> DataFrame:
         return star.dim_component(*[getattr(self, n) for n in names])
 
-    @lru_cache
     def groups(self, *names: str) -> DataFrame:
         return star.dim_oem_group(*[getattr(self, n) for n in names])
 
