@@ -7,11 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import stage
+
 # Filter keys the index knows, and the plural names also accepted for sources.
 FILTER_KEYS = frozenset({"source_dataset", "make_norm", "model_year", "component_group", "oem_group"})
 SOURCE_NAMES = {"tsbs": "tsb", "investigations": "investigation"}
@@ -78,21 +80,23 @@ def top_k(
     Filters run before any vector is touched. Each task multiplies its batches with the query
     matrix and keeps ``k`` rows per query, so what moves is tasks x queries x k rows, never all
     pairs. The query matrix is the only thing every task holds: queries are taken in passes of
-    at most ``QUERIES_PER_PASS``. Scores are rounded to nine digits before ranking, so that the
+    about ``QUERIES_PER_PASS``, split by a hash of their id. Scores are rounded to nine digits before ranking, so that the
     order does not hang on the last bits of a sum. Zero vectors have no direction and no score.
     """
     source = corpus.where(metadata_filter(filters, allowed)).where(F.col(vector).isNotNull())
     source = source.select(F.col(id_col), F.col(vector), *columns)
 
     asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")).where("_v IS NOT NULL")
-    n_queries = asked.count()
-    passes = max(1, -(-n_queries // QUERIES_PER_PASS))
-    hits = []
-    for i in range(passes):
-        block = asked
-        if passes > 1:
-            block = asked.where(F.pmod(F.xxhash64("_q"), F.lit(passes)) == i)
-        hits.append(_one_pass(source, block, k, id_col, vector, columns, query_id, asked.schema["_q"].dataType))
+    id_type = asked.schema["_q"].dataType
+    first = asked.limit(QUERIES_PER_PASS + 1).collect()
+    if len(first) <= QUERIES_PER_PASS:
+        blocks = [first]
+    else:
+        stored = stage(asked, "vector-queries")
+        passes = -(-stored.count() // (QUERIES_PER_PASS // 2))
+        part = F.pmod(F.xxhash64("_q"), F.lit(passes))
+        blocks = (stored.where(part == i).collect() for i in range(passes))
+    hits = [_one_pass(source, rows, k, id_col, vector, columns, query_id, id_type) for rows in blocks]
     best = reduce(lambda a, b: a.unionByName(b), hits)
 
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col).asc())
@@ -101,7 +105,7 @@ def top_k(
 
 def _one_pass(
     source: DataFrame,
-    block: DataFrame,
+    rows: list[Row],
     k: int,
     id_col: str,
     vector: str,
@@ -109,7 +113,6 @@ def _one_pass(
     query_id: str,
     id_type: T.DataType,
 ) -> DataFrame:
-    rows = block.collect()  # at most about QUERIES_PER_PASS vectors
     ids = [r["_q"] for r in rows]
     kept = [id_col, *columns]
     schema = T.StructType(

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import lenient_int
+from ..functions.text import component_group, component_leaf
+from ..sources.taxonomy import resolve_make
 from .registry import Tables
 
 AS_OF = "2001-09-01"
@@ -94,6 +97,20 @@ SQL_RAW_RECALLS = f"""raw_recalls AS (
     l_linestatus AS fmvss, p_name AS desc_defect
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
+def products(t: Tables) -> DataFrame:
+    """Every part as a vehicle and component, typed: where the dimensions of the line feeds come from."""
+    raw = t.part.select(
+        make_of("p_partkey").alias("maketxt"),
+        F.col("p_name").alias("model_norm"),
+        lenient_int(F.expr(_YEAR.format(text="string"))).alias("model_year"),
+        F.expr(_COMPONENT).alias("component_raw"),
+    )
+    typed = raw.withColumns(
+        {"component_group": component_group("component_raw"), "component_leaf": component_leaf("component_raw")}
+    )
+    return resolve_make(typed, "maketxt")
+
+
 _ACTION = "CASE o_custkey % 5 WHEN 0 THEN 'PE' WHEN 1 THEN 'EA' WHEN 2 THEN 'DP' WHEN 3 THEN 'RQ' ELSE 'AQ' END"
 
 

@@ -29,6 +29,15 @@ class Star:
             return getattr(star, name)(getattr(self, base))
         return getattr(typed, base)(getattr(feeds, f"raw_{base}")(self._t), feeds.as_of())
 
+    @property
+    def products(self) -> DataFrame:
+        return feeds.products(self._t)
+
+    @property
+    def product_parts(self) -> DataFrame:
+        """Products whose component counts as a whole, as in feeds without a leaf column."""
+        return feeds.products(self._t).drop("component_leaf")
+
     def vehicles(self, *names: str) -> DataFrame:
         return star.dim_vehicle(*[getattr(self, n) for n in names])
 
@@ -141,7 +150,7 @@ _ATTR = """coalesce(make_norm, '') AS make_norm, coalesce(model_norm, '') AS mod
 )
 def fact_recalls(t: Tables):
     s = Star(t)
-    return _named(s.recalls_fact, s.vehicles("recalls"), s.components("recalls"), s.groups("recalls"))
+    return _named(s.recalls_fact, s.vehicles("products"), s.components("products"), s.groups("products"))
 
 
 @query(
@@ -163,7 +172,7 @@ def fact_bulletins(t: Tables):
     fact = s.bulletins_fact.drop(
         "replacement_bulletin_no", "communication_type", "mfr_component_system", "mfr_component_subsystem"
     )
-    return _named(fact, s.vehicles("bulletins"), s.components("bulletins"), s.groups("bulletins"))
+    return _named(fact, s.vehicles("products"), s.components("product_parts"), s.groups("products"))
 
 
 @query(
@@ -173,7 +182,7 @@ def fact_bulletins(t: Tables):
 )
 def fact_investigations(t: Tables):
     s = Star(t)
-    return _named(s.investigations_fact, None, s.components("investigations"), s.groups("investigations"))
+    return _named(s.investigations_fact, None, s.components("product_parts"), s.groups("products"))
 
 
 @query(
@@ -231,7 +240,7 @@ def kpi_open_cases(t: Tables):
 def top_groups(t: Tables):
     s = Star(t)
     fact = s.recalls_fact.where(reports.in_year(F.lit(1999)))
-    return reports.top_by_distinct(fact, s.groups("recalls"), "oem_group_id", "oem_group", "campaign_number", "recalls")
+    return reports.top_by_distinct(fact, s.groups("products"), "oem_group_id", "oem_group", "campaign_number", "recalls")
 
 
 @query(
@@ -265,7 +274,7 @@ def open_by_component(t: Tables):
     s = Star(t)
     fact = s.investigations_fact.where("status = 'open'")
     return reports.top_by_count(
-        fact, s.components("investigations"), "component_id", "component_group", "n_open", k=None
+        fact, s.components("product_parts"), "component_id", "component_group", "n_open", k=None
     )
 
 
@@ -287,7 +296,7 @@ def monthly_trend(t: Tables):
 )
 def active_cases(t: Tables):
     s = Star(t)
-    return reports.active_cases(s.investigations_fact, s.groups("investigations"), s.components("investigations"))
+    return reports.active_cases(s.investigations_fact, s.groups("products"), s.components("product_parts"))
 
 
 @query(
@@ -297,7 +306,7 @@ def active_cases(t: Tables):
 )
 def campaigns_by_make_year(t: Tables):
     s = Star(t)
-    return reports.campaigns_by_make_and_year(s.recalls_fact, s.vehicles("recalls"))
+    return reports.campaigns_by_make_and_year(s.recalls_fact, s.vehicles("products"))
 
 
 @query(
@@ -306,7 +315,7 @@ def campaigns_by_make_year(t: Tables):
 )
 def campaigns_of_make(t: Tables):
     s = Star(t)
-    return reports.campaigns_for(s.recalls_fact, s.vehicles("recalls"), "Toyota", 1998)
+    return reports.campaigns_for(s.recalls_fact, s.vehicles("products"), "Toyota", 1998)
 
 
 @query(
@@ -316,7 +325,7 @@ def campaigns_of_make(t: Tables):
 )
 def units_by_component(t: Tables):
     s = Star(t)
-    return reports.top_by_sum(s.recalls_fact, s.components("recalls"), "component_id", "component_group", "units_affected", "units")
+    return reports.top_by_sum(s.recalls_fact, s.components("products"), "component_id", "component_group", "units_affected", "units")
 
 
 @query(

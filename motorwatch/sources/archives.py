@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Archive name fragment -> member name fragment, tried in this order.
 MEMBER_BY_ARCHIVE = (("mfr_comms_received", "MFR_COMMS"), ("tsbs_received", "TSBS_RECEIVED"))
@@ -25,7 +26,9 @@ def read_zip_lines(
     """``(archive, line_no, line)`` of the first member whose name holds ``member``, any case.
 
     One task inflates one archive, as a ZIP stream cannot be split, but it streams: lines leave
-    in batches and are never all in memory. Archives without such a member are an error.
+    in batches and are never all in memory. They are spread over the cluster right after, so
+    that parsing does not stay in as many tasks as there are archives. Archives without such a
+    member are an error.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +51,7 @@ def read_zip_lines(
                             yield _batch(row["path"], start, held)
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(unpack, "archive string, line_no bigint, line string")
+    return files.mapInArrow(unpack, "archive string, line_no bigint, line string").hint("rebalance")
 
 
 def _batch(path: str, start: int, lines: list[str]) -> pa.RecordBatch:
@@ -61,8 +64,6 @@ def _batch(path: str, start: int, lines: list[str]) -> pa.RecordBatch:
 
 def parse_lines(lines: DataFrame, columns: tuple[str, ...], sep: str = "\t") -> DataFrame:
     """Delimited lines as columns; fields keep the order, short rows end in NULL."""
-    from pyspark.sql import functions as F
-
     ddl = ", ".join(f"`{c}` string" for c in columns)
     parsed = lines.where("line <> ''").select(
         F.from_csv("line", ddl, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r")
