@@ -103,7 +103,8 @@ def rubric_passed(score: Column) -> Column:
 
 
 def cite_id_present(answer: Column | str) -> Column:
-    return _text(answer).rlike(CITE_ID)
+    """A source id is cited. Every shape holds three digits in a row, so that is looked for first."""
+    return _text(answer).rlike(r"\d{3}") & _text(answer).rlike(CITE_ID)
 
 
 def word_count_under(answer: Column | str, limit: int = MAX_WORDS) -> Column:

@@ -15,7 +15,7 @@ _SOURCE_ID = "CASE doc_id % 4 WHEN 0 THEN 'EA23-001' WHEN 1 THEN 'TSB-' || (1016
 
 
 def _answers(t: Tables):
-    return t.documents.select(
+    return t.wide("documents").select(
         "doc_id",
         F.expr(_ANSWER).alias("answer"),
         F.expr(_EXPECTED.format(t="string")).alias("expected"),

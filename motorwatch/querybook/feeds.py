@@ -56,7 +56,7 @@ def sql_damaged(key: str, day: str) -> str:
 
 def covered(t: Tables) -> DataFrame:
     """Order lines with their order and part."""
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    return t.wide("lineitem").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         t.part, F.col("l_partkey") == F.col("p_partkey")
     )
 
@@ -144,7 +144,7 @@ SQL_RAW_INVESTIGATIONS = f"""raw_investigations AS (
 
 def raw_complaints(t: Tables) -> DataFrame:
     n = F.lit(None).cast("string")
-    return t.documents.select(
+    return t.wide("documents").select(
         F.col("doc_id").cast("string").alias("cmplid"),
         F.concat(F.lit("ODI"), F.col("doc_id").cast("string")).alias("odino"),
         make_of("doc_id").alias("maketxt"),
@@ -180,7 +180,7 @@ SQL_RAW_COMPLAINTS = f"""raw_complaints AS (
 
 def raw_bulletins(t: Tables) -> DataFrame:
     """One row per order line: a bulletin, the product and the component it concerns."""
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.wide("lineitem").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.col("l_suppkey").cast("string").alias("nhtsa_item_number"),
         F.col("l_returnflag").alias("replacement_bulletin_no"),
@@ -216,7 +216,7 @@ _LEVEL = "CASE event_type WHEN 'view' THEN 'Level 4' WHEN 'click' THEN 'L3' WHEN
 
 
 def raw_crashes(t: Tables) -> DataFrame:
-    return t.events.select(
+    return t.wide("events").select(
         F.col("event_id").cast("string").alias("report_id"),
         make_of("user_id").alias("make"),
         F.expr(_LEVEL).alias("sae_automation_level"),

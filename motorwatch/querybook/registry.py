@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}
@@ -25,6 +27,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def wide(self, name: str) -> DataFrame:
+        """The table on all cores, for queries that do much work per row."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``, with its SQL check where there is one."""

@@ -28,13 +28,13 @@ def _chunk_sql(size: int, overlap: int, sep: str) -> str:
 @query("chunk_docs", _chunk_sql(400, 50, "'. '"))
 def chunk_docs(t: Tables):
     """Soft breaks at sentence ends."""
-    return explode_chunks(t.documents.select("doc_id", "text"), "text", ChunkSpec(400, 50, ". "))
+    return explode_chunks(t.wide("documents").select("doc_id", "text"), "text", ChunkSpec(400, 50, ". "))
 
 
 @query("chunk_docs_hard", _chunk_sql(800, 100, "chr(10) || chr(10)"))
 def chunk_docs_hard(t: Tables):
     """The default window; texts without a blank line are cut at a fixed stride."""
-    return explode_chunks(t.documents.select("doc_id", "text"), "text")
+    return explode_chunks(t.wide("documents").select("doc_id", "text"), "text")
 
 
 @query(
@@ -76,7 +76,7 @@ def narrative_chunks(t: Tables):
 )
 def doc_meta_left_join(t: Tables):
     """Parsed bulletin texts and the bulletin's metadata, one row per text."""
-    parsed = t.documents.select(F.concat(F.lit("SB-"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("full_text"))
+    parsed = t.wide("documents").select(F.concat(F.lit("SB-"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("full_text"))
     rows = corpus.from_bulletins(typed.bulletins(feeds.raw_bulletins(t), feeds.as_of()), parsed)
     return rows.withColumn("body", F.md5("body")).drop("parent_doc_id")
 
@@ -223,7 +223,7 @@ def _html_sql() -> str:
 
 @query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def page_text(t: Tables):
-    return t.pages.select("page_id", html_to_text("html").alias("text"))
+    return t.wide("pages").select("page_id", html_to_text("html").alias("text"))
 
 
 @query(
@@ -233,7 +233,7 @@ def page_text(t: Tables):
           CASE WHEN {_html_sql()} = '' THEN 'document has no text' END AS error_message FROM pages""",
 )
 def parse_tracker(t: Tables):
-    work = t.pages.select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("volume_path"), "html")
+    work = t.wide("pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("volume_path"), "html")
     return worklist.track(work, html_to_text("html"), "html/1").drop("parsed_at")
 
 

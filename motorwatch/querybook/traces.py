@@ -45,7 +45,7 @@ def traces(t: Tables):
         'attributes', map('mlflow.spanOutputs', CASE WHEN k % 7 = 0 THEN '{{"usage":{{}}}}'
             ELSE '{{"usage":{{"total_tokens":' || (k * i) || '}}}}' END))) END"""
     return (
-        t.events.withColumn("k", F.expr(_K))
+        t.wide("events").withColumn("k", F.expr(_K))
         .select(
             F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("trace_id"),
             F.col("ts").alias("request_time"),

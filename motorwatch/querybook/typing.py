@@ -167,7 +167,7 @@ def oem_lookup(t: Tables):
 
 @query("pii_scrub", f"SELECT doc_id, {sqltext.masked('text')} AS clean FROM documents")
 def pii_scrub(t: Tables):
-    return t.documents.select("doc_id", privacy.mask_personal("text").alias("clean"))
+    return t.wide("documents").select("doc_id", privacy.mask_personal("text").alias("clean"))
 
 
 _VIN, _PHONE, _EMAIL, _NUM = sqltext.mask_steps("text")
@@ -187,7 +187,7 @@ def _count_sql(text_sql: str, token: str) -> str:
         FROM (SELECT doc_id, text, {_VIN} AS a, {_PHONE} AS b, {_EMAIL} AS c, {_NUM} AS d FROM documents)""",
 )
 def pii_counts(t: Tables):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in privacy.mask_tallies("text").items()])
+    return t.wide("documents").select("doc_id", *[c.alias(n) for n, c in privacy.mask_tallies("text").items()])
 
 
 @query(

@@ -63,3 +63,13 @@ def stage(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan):
+    """Give row-wise work on a scan all cores when the input is a few unsplittable files.
+
+    A scan with at least as many partitions as there are slots, as any large table has, comes
+    back unchanged: nothing is shuffled. Only a small input is dealt out over the slots.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)
