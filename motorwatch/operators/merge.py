@@ -49,9 +49,12 @@ def _is_map(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.MapType, T.VariantType))
 
 
-def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Equality that also matches NULL with NULL; still a hash-partitionable join condition."""
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+def null_safe(pairs: Sequence[tuple[str, str]]) -> Column:
+    """Equality that also matches NULL with NULL; still a hash-partitionable join condition.
+
+    Names must be unique over both sides of the join.
+    """
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
 
 
 def new_rows(
@@ -68,7 +71,7 @@ def new_rows(
     """
     once = one_per_key(batch, key, order, keep)
     known = target.select(*[F.col(k).alias(f"_t_{k}") for k in key])
-    return once.join(known, null_safe(once, known, [(k, f"_t_{k}") for k in key]), "left_anti")
+    return once.join(known, null_safe([(k, f"_t_{k}") for k in key]), "left_anti")
 
 
 def insert_only(

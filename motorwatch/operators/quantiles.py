@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merge import null_safe
+
 _ACCURACY = 20_000  # rank error of the sketch: n / _ACCURACY
 _MARGIN = 0.001  # half width of the bracket, well above that error
 _SMALL = 5_000  # below this the bracket is the whole group
@@ -52,10 +54,7 @@ def exact_quantile(
         F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
     if by:
-        on = None
-        for c in by:
-            match = rows[c].eqNullSafe(stats[f"_by_{c}"])
-            on = match if on is None else on & match
+        on = null_safe([(c, f"_by_{c}") for c in by])
         placed = rows.join(stats, on).drop(*[f"_by_{c}" for c in by])
     else:
         one = stats.select(F.struct("_n", "_lo", "_hi").alias("_s"))

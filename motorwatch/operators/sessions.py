@@ -65,8 +65,8 @@ def merge_filters(
     """The filters in force at the end of each session, one row per value.
 
     Input: one row per (session, turn, key) with either a scalar, a list, or neither, which
-    clears the key. Later scalars replace, lists add to the list in force and keep the order of
-    first mention, and a list after a scalar replaces it.
+    clears the key. Later scalars replace, lists add what is new to the list in force, in order
+    of first mention, and a list after a scalar replaces it.
 
     Folding turn after turn would need a whole session in one task. The same outcome follows
     from a few grouped maxima: the last event that was not a list (everything before it is
@@ -88,14 +88,22 @@ def merge_filters(
     has_items = F.coalesce(F.col("_filled") > start, F.lit(False))
 
     live = state.where(has_items).select("_s", "_k", start.alias("_start"))
-    mentions = events.where(is_list).select(session, key, turn, F.posexplode(items).alias("pos", "value"))
-    mentions = mentions.join(live, (F.col(session) == F.col("_s")) & (F.col(key) == F.col("_k")))
+    lists = events.where(is_list).select(session, key, turn, F.col(items).alias("_items"))
+    lists = lists.join(live, (F.col(session) == F.col("_s")) & (F.col(key) == F.col("_k")))
+    lists = lists.where(F.col(turn) > F.col("_start"))
     listed = (
-        mentions.where(F.col(turn) > F.col("_start"))
+        lists.select(session, key, turn, F.posexplode("_items").alias("pos", "value"))
         .groupBy(session, key, "value")
         .agg(F.min(F.struct(F.col(turn).alias("turn"), F.col("pos").alias("pos"))).alias("_at"))
         .select(session, key, F.lit(True).alias("is_list"), "value", "_at.turn", "_at.pos")
     )
+    # The list that opens a key is taken as it is; only what is added later is checked for repeats.
+    opening = lists.groupBy(session, key).agg(F.min_by("_items", turn).alias("_items"), F.min(turn).alias("turn"))
+    repeats = (
+        opening.select(session, key, "turn", "_items", F.posexplode("_items").alias("pos", "value"))
+        .where(F.array_position("_items", F.col("value")) <= F.col("pos"))
+        .select(session, key, F.lit(True).alias("is_list"), "value", "turn", "pos")
+    )
     bare = state.where(F.when(ends_in_list, ~has_items).otherwise(F.col("_scalar").isNotNull())).select(
         F.col("_s").alias(session),
         F.col("_k").alias(key),
@@ -104,4 +112,4 @@ def merge_filters(
         F.when(ends_in_list, F.col("_list")).otherwise(F.col("_reset")).alias("turn"),
         F.lit(0).alias("pos"),
     )
-    return bare.unionByName(listed)
+    return bare.unionByName(listed).unionByName(repeats)

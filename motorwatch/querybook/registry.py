@@ -20,16 +20,22 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._frames: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self._made(name, lambda: self.spark.read.parquet(self.path(name)))
 
     def wide(self, name: str) -> DataFrame:
         """The table on all cores, for queries that do much work per row."""
-        return spread(getattr(self, name))
+        return self._made(f"wide {name}", lambda: spread(getattr(self, name)))
+
+    def _made(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if label not in self._frames:
+            self._frames[label] = make()
+        return self._frames[label]
 
 
 def query(name: str, sql: str | None = None):

@@ -26,8 +26,11 @@ class Star:
     def __getattr__(self, name: str) -> DataFrame:
         base, _, kind = name.partition("_")
         if kind == "fact":
-            return getattr(star, name)(getattr(self, base))
-        return getattr(typed, base)(getattr(feeds, f"raw_{base}")(self._t), feeds.as_of())
+            made = getattr(star, name)(getattr(self, base))
+        else:
+            made = getattr(typed, base)(getattr(feeds, f"raw_{base}")(self._t), feeds.as_of())
+        self.__dict__[name] = made
+        return made
 
     @property
     def products(self) -> DataFrame:

@@ -65,10 +65,14 @@ _SCALAR = "CASE WHEN k % 10 <> 0 AND k % 17 <> 1 AND k % 2 = 0 THEN CAST(k AS {t
        b AS (SELECT *, coalesce(max(CASE WHEN lv IS NULL THEN event_id END) OVER (PARTITION BY user_id, event_type), -1) AS reset FROM f),
        live AS (SELECT user_id, event_type, event_id, unnest(lv) AS value, generate_subscripts(lv, 1) - 1 AS pos FROM b WHERE lv IS NOT NULL AND len(lv) > 0 AND event_id > reset),
        items AS (SELECT user_id, event_type, value, min((event_id, pos)) AS seen FROM live GROUP BY ALL),
+       opening AS (SELECT user_id, event_type, min(event_id) AS event_id FROM b WHERE lv IS NOT NULL AND event_id > reset GROUP BY ALL),
+       repeats AS (SELECT l.user_id, l.event_type, l.value, l.event_id, l.pos FROM live l JOIN opening USING (user_id, event_type, event_id)
+         WHERE EXISTS (SELECT 1 FROM live m WHERE m.event_id = l.event_id AND m.value = l.value AND m.pos < l.pos)),
        scalars AS (SELECT b.user_id, b.event_type, b.sv AS value, b.event_id FROM b WHERE event_id = reset AND sv IS NOT NULL
          AND NOT EXISTS (SELECT 1 FROM b x WHERE x.user_id = b.user_id AND x.event_type = b.event_type AND x.lv IS NOT NULL AND x.event_id > b.reset)),
        empties AS (SELECT user_id, event_type, max(event_id) AS event_id FROM b WHERE lv IS NOT NULL AND event_id > reset GROUP BY ALL HAVING max(len(lv)) = 0)
        SELECT user_id, event_type AS filter_key, TRUE AS is_list, value, seen[1] AS turn, seen[2]::INTEGER AS pos FROM items
+       UNION ALL SELECT user_id, event_type, TRUE, value, event_id, pos::INTEGER FROM repeats
        UNION ALL SELECT user_id, event_type, FALSE, value, event_id, 0 FROM scalars
        UNION ALL SELECT user_id, event_type, TRUE, NULL, event_id, 0 FROM empties""",
 )

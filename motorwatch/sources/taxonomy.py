@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,12 @@ class Taxonomy:
         return list(rows.values())
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = self.lookup_rows()
-        table = spark.createDataFrame(rows, "_name string, _alias_of string, _group string")
-        return F.broadcast(table) if len(rows) <= BROADCAST_MAX_NAMES else table
+        names, aliases, groups = zip(*self.lookup_rows(), strict=True)
+        text = pa.string()
+        table = spark.createDataFrame(
+            pa.table({"_name": pa.array(names, text), "_alias_of": pa.array(aliases, text), "_group": pa.array(groups, text)})
+        )
+        return F.broadcast(table) if len(names) <= BROADCAST_MAX_NAMES else table
 
 
 DEFAULT_TAXONOMY = Taxonomy()
