@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cite_id_present, mentions_any, word_count_under
@@ -40,6 +40,11 @@ def trace_view(
     )
 
 
+def register_trace_view(spark: SparkSession, traces_table: str, view: str, endpoint: str | None = None) -> None:
+    """Put the per-trace view under a name, for dashboards' SQL in this session."""
+    trace_view(spark.table(traces_table), endpoint).createOrReplaceTempView(view)
+
+
 def counts_from_span_rows(
     spans: DataFrame, trace: str = "trace_id", name: str = "name", attributes: str = "attributes", names: SpanNames = SpanNames()
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.text import html_to_text, truncate_with_marker
 from ..operators import sampling, worklist
 from ..operators.chunking import ChunkSpec, explode_chunks
 from ..plans import corpus, typed
+from ..sources.documents import api_results as results
 from ..sources.documents import document_rows, listing_entries
 from . import feeds, sqltext
 from .registry import Tables, query
@@ -187,6 +188,26 @@ def listing_json_docs(t: Tables):
     return listing_entries(bodies, "body", F.col("base"), suffix="").drop("base")
 
 
+@query(
+    "api_results",
+    """SELECT part_key, 'C' || s AS campaign, s * 10 AS units FROM (SELECT p_partkey AS part_key, unnest(range(1, p_size % 4 + 1)) AS s FROM part WHERE p_partkey % 6 <> 5)""",
+)
+def api_results(t: Tables):
+    """Stored responses, made from the parts: a list of results, an empty one, or no list at all."""
+    rows = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<struct<campaign:string,units:bigint>>")).otherwise(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest((F.col("p_size") % 4).cast("int"), F.lit(1))),
+            lambda s: F.struct(
+                F.concat(F.lit("C"), s.cast("string")).alias("campaign"), (s * 10).cast("bigint").alias("units")
+            ),
+        )
+    )
+    body = F.when(F.col("p_partkey") % 6 == 5, F.lit('{"message":"not found"}')).otherwise(
+        F.to_json(F.struct(rows.alias("results")))
+    )
+    return results(t.part.select(F.col("p_partkey").alias("part_key"), body.alias("body")), "body", "campaign:string,units:bigint")
+
+
 @query(
     "doc_ids",
     """WITH found AS (SELECT DISTINCT page_id, 'PE 22/' || page_id AS action, unnest(regexp_extract_all(html, '(?i)href="([^"]+?)"', 1)) AS link, url FROM pages),

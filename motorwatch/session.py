@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCRATCH_ROOTS: set[str] = set()
 
 
 def build_session(app_name: str = "motorwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,8 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; nothing is ever reused or overwritten."""
-    return f"{shared_dir(spark)}/motorwatch/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, never reused or overwritten.
+
+    All of an application's scratch lies in one folder of its own, which goes when it ends.
+    """
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/motorwatch/{app}"
+    if root not in _SCRATCH_ROOTS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _SCRATCH_ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df, label: str):

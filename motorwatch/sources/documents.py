@@ -41,6 +41,16 @@ def listing_entries(bodies: DataFrame, body: str, base: Column, *, suffix: str =
     )
 
 
+def api_results(bodies: DataFrame, body: str, row_schema: str) -> DataFrame:
+    """Rows of the ``results`` list of stored API responses, next to the other columns.
+
+    ``row_schema`` is the DDL of one row. A body without such a list yields nothing.
+    """
+    parsed = F.from_json(F.col(body), f"struct<results:array<struct<{row_schema}>>>")
+    others = [c for c in bodies.columns if c != body]
+    return bodies.select(*others, F.explode(parsed["results"]).alias("_r")).select(*others, "_r.*")
+
+
 def document_rows(
     entries: DataFrame,
     folder: str,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import os
 import sys
 import time
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -56,7 +58,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def differences(df, con, sql: str) -> list[str]:
     got = df.toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return [f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"]
     names = sorted(got.column_names)
@@ -80,11 +82,14 @@ def main(folder: str, only: list[str]) -> int:
     import __spark_entry__ as entry
     from motorwatch.session import build_session
 
-    spark = build_session(
+    if os.environ.get("PLAIN"):  # a session with nothing but Spark's own defaults
+        SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.getActiveSession() or build_session(
         "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), entry.oracle_sql(), 0
+    folder = os.environ.get("SPARK_FOLDER", folder)  # the same tables, stored another way
     for name, run in entry.queries().items():
         if only and name not in only:
             continue

@@ -259,6 +259,19 @@ def test_trace_view(frame):
     assert [(r["trace_id"], r["cite_id_present"], r["mentions_oem"]) for r in waiting] == [("spanless", True, True)]
 
 
+def test_registered_view_answers_sql(spark, frame):
+    frame([_trace("a", None, [("call_llm", {})])], _TRACE).createOrReplaceTempView("raw_traces")
+    monitoring.register_trace_view(spark, "raw_traces", "agent_traces")
+    assert spark.sql("SELECT call_llm_exec_count FROM agent_traces").first()[0] == 1
+
+
+def test_retrieval_gate_with_latencies(frame):
+    rows = [(f"q{i}", 8, i >= 2, float(10 * i)) for i in range(10)]
+    got = evaluation.retrieval_gate(frame(rows, "query_id string, n_hits int, hit boolean, ms double"), F.col("hit"), "ms").first()
+    assert (got["n_queries"], got["n_pass"], got["ok"], got["avg_hits"]) == (10, 8, True, 8.0)
+    assert got["p50_ms"] == 45.0 and got["p95_ms"] == pytest.approx(85.5)
+
+
 def _results(frame, rows):
     schema = "tier string, question string, score double, passed boolean, pending boolean, latency_s double, n_tool_calls int, n_llm_calls int, stopped_reason string"
     return frame(rows, schema)
