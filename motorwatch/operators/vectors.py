@@ -131,19 +131,22 @@ def _one_pass(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
         best: list[pa.Table | None] = [None] * len(names)
+        floors = np.full(len(names), -np.inf)  # a row must score at least this to matter
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             scores = np.round(asked @ _unit_rows(_matrix(batch.column(vector))).T, SCORE_DIGITS)
             scores = np.where(np.isnan(scores), -np.inf, scores)
             payload = pa.Table.from_batches([batch.select(kept)])
-            for q in range(len(names)):
+            for q in np.flatnonzero(scores.max(axis=1) >= floors):
                 row = scores[q]
                 floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                pick = np.flatnonzero((row >= floor) & (row > -np.inf))
+                pick = np.flatnonzero((row >= max(floor, floors[q])) & (row > -np.inf))
                 found = payload.take(pa.array(pick)).append_column("score", pa.array(row[pick]))
                 merged = found if best[q] is None else pa.concat_tables([best[q], found])
                 best[q] = merged.sort_by([("score", "descending"), (id_col, "ascending")]).slice(0, k)
+                if best[q].num_rows == k:
+                    floors[q] = best[q].column("score")[k - 1].as_py()
         for q, table in enumerate(best):
             if table is not None and table.num_rows:
                 label = pa.array([names[q]] * table.num_rows, label_type)

@@ -139,9 +139,8 @@ def stratified_sample(t: Tables):
 def bucket_sample(t: Tables):
     """An exact number per date bucket; undated rows never."""
     rows = _dated(t).where("event_date IS NOT NULL").withColumn("bucket", corpus.date_bucket())
-    size = F.when(F.col("_stratum") == "pre_2000", 500).when(F.col("_stratum") == "y2000_2015", 700).otherwise(1_000_000)
-    out = sampling.exact_size(rows, ["o_orderkey"], size, stratum=F.col("bucket"))
-    return out.select("o_orderkey", "bucket")
+    sizes = {"pre_2000": 500, "y2000_2015": 700, "post_2015": 1_000_000}
+    return sampling.exact_sizes(rows, ["o_orderkey"], F.col("bucket"), sizes).select("o_orderkey", "bucket")
 
 
 # ----------------------------------------------------------- pages, documents

@@ -112,12 +112,12 @@ def test_global_quantile_and_null_group(spark):
 
 def test_exact_size_samples(spark):
     df = spark.range(5_000).withColumn("s", F.when(F.col("id") % 5 == 0, "small").when(F.col("id") % 7 != 0, "big"))
-    size = F.when(F.col("_stratum") == "small", 300).otherwise(10_000)
-    got = sampling.exact_size(df, ["id"], size, stratum=F.col("s"))
+    sizes = {"small": 300, "big": 10_000, "absent": 5}
+    got = sampling.exact_sizes(df, ["id"], F.col("s"), sizes)
     counts = {r["s"]: r["count"] for r in got.groupBy("s").count().collect()}
     n_big = df.where("s = 'big'").count()
     assert counts == {"small": 300, "big": n_big}
-    again = sampling.exact_size(df.repartition(7), ["id"], size, stratum=F.col("s"))
+    again = sampling.exact_sizes(df.repartition(7), ["id"], F.col("s"), sizes)
     assert {r["id"] for r in got.collect()} == {r["id"] for r in again.collect()}
     share = sampling.exact_size(df, ["id"], F.greatest(F.lit(1), F.floor(F.col("_n") * 0.1)))
     assert share.count() == 500
