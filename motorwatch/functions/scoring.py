@@ -57,7 +57,7 @@ def score_exact(expected: Column | str, answer: Column | str) -> Column:
 
     items = F.filter(F.transform(F.split(F.lower(want), r"\|"), strip), lambda item: item != "")
     found = F.filter(items, lambda item: F.contains(got, item))
-    listed = (F.size(items) > 0) & (F.size(found) >= F.size(items) * F.lit(LIST_COVERAGE_MIN))
+    listed = F.size(found) / F.greatest(F.size(items), F.lit(1)) >= LIST_COVERAGE_MIN
 
     first_number = F.regexp_extract(_text(answer), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
     numeric = F.coalesce(F.abs(first_number - want.try_cast("double")) < 1e-6, F.lit(False))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 TRACKER_SCHEMA = (
     "doc_id string, volume_path string, parsed_at timestamp, parser_version string, "
     "parse_status string, error_message string"
@@ -34,7 +36,7 @@ def track(work: DataFrame, text: Column, version: str, doc_id: str = "doc_id", p
     """
     parsed = work.withColumn("full_text", text)
     missing = F.col("content").isNull() if "content" in work.columns else F.lit(False)
-    empty = F.coalesce(F.trim("full_text"), F.lit("")) == ""
+    empty = F.coalesce(strip("full_text"), F.lit("")) == ""
     problem = F.when(missing, F.lit("document is missing")).when(empty, F.lit("document has no text"))
     return parsed.select(
         F.col(doc_id).alias("doc_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import cite_id_present, mentions_any, word_count_under
+from ..functions.text import strip
 from ..functions.traces import SpanNames, flag, judged, response_text, span_counts, token_total
 from ..operators.quantiles import exact_quantile
 from ..operators.sampling import exact_size
@@ -67,7 +68,7 @@ def unscored(traces: DataFrame, endpoint: str | None = None) -> DataFrame:
     df = traces if endpoint is None else traces.where(F.col("tags")["model_serving_endpoint_name"] == endpoint)
     df = df.where(F.col("assessments").isNull() | (F.size("assessments") == 0))
     out = df.select("trace_id", "request_preview", response_text("response").alias("response_text"))
-    return out.where(F.trim(F.coalesce("response_text", F.lit(""))) != "")
+    return out.where(strip(F.coalesce("response_text", F.lit(""))) != "")
 
 
 def cheap_scores(answers: DataFrame, text: str = "response_text") -> DataFrame:

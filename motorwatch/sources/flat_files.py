@@ -76,9 +76,9 @@ def read_csv_snapshots(
 ) -> DataFrame:
     """Header CSV snapshots with overlapping columns as one frame.
 
-    Header names are normalised, empty values are NULL, each row carries its file's name, and
-    the columns are the union over all snapshots in order of first appearance. Only the header
-    lines are looked at up front.
+    Header names are normalised (of two that become equal the last one counts), empty values
+    are NULL, each row carries its file's name, and the columns are the union over all snapshots
+    in order of first appearance. Only the header lines are looked at up front.
     """
 
     def one(path: str) -> DataFrame:
@@ -89,9 +89,9 @@ def read_csv_snapshots(
             .option("encoding", encoding)
             .csv(path)
         )
-        names = [header_name(c) for c in raw.columns]
+        by_name = {header_name(c): c for c in raw.columns}
         return raw.select(
-            *[F.nullif(F.col(f"`{old}`"), F.lit("")).alias(new) for old, new in zip(raw.columns, names, strict=True)],
+            *[F.nullif(F.col(f"`{old}`"), F.lit("")).alias(new) for new, old in by_name.items()],
             F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(tag),
         )
 

@@ -80,6 +80,11 @@ def test_partition_filter_prunes(spark, plan):
     assert "PartitionFilters: [isnotnull(order_year" in text
 
 
+def test_partitioned_writes_are_rebalanced_on_the_partition_column(spark, plan):
+    df = spark.range(100).withColumn("y", F.col("id") % 3).hint("rebalance", "y")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(df)
+
+
 def test_spread_leaves_wide_scans_alone(spark):
     wide = spark.range(0, 1000, 1, 64)
     assert spread(wide) is wide

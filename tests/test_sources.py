@@ -58,6 +58,12 @@ def test_csv_snapshots_union(spark, tmp_path):
     assert (got["3"]["weather"], got["3"]["_sgo_source"], got["3"]["make"]) == ("Clear", "adas.csv", None)
 
 
+def test_headers_that_become_equal_keep_the_last(spark, tmp_path):
+    (tmp_path / "twice.csv").write_text("Report ID,Make,Report-ID\n1,A,2\n")
+    row = read_csv_snapshots(spark, [str(tmp_path / "twice.csv")]).first()
+    assert (row["report_id"], row["make"]) == ("2", "A")
+
+
 def test_zip_members_stream_as_lines(spark, tmp_path):
     for name, member in (("TSBS_RECEIVED_2020-2024.zip", "tsbs_received_2020.txt"), ("MFR_COMMS_RECEIVED_2025.zip", "mfr_comms.csv")):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
@@ -73,11 +79,12 @@ def test_zip_members_stream_as_lines(spark, tmp_path):
 
 def test_questions_are_checked(spark, tmp_path):
     good = tmp_path / "t1.tsv"
-    good.write_text("# note\n\nquestion\treference_sql\texpected_value\nHow many?\tSELECT 1\t1\n  # more\nWhy?\t\tTBD:x\n")
+    good.write_text("# note\n\t \nquestion\treference_sql\texpected_value\nHow many?\tSELECT 1\t1\n  # more\nWhy?\t\tTBD:x\n")
     rows = evalsets.read_questions(spark, str(good), "tier1").orderBy("question").collect()
     assert [(r["tier"], r["question"], r["expected_value"]) for r in rows] == [("tier1", "How many?", "1"), ("tier1", "Why?", "TBD:x")]
     bad = {
         "header": "q\ta\nx\ty\n",
+        "expected header": "x\ty\nquestion\treference_answer\n",
         "without exactly": "question\treference_answer\nx\n",
         "no questions": "question\treference_answer\n",
     }
