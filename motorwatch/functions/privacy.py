@@ -15,25 +15,28 @@ LONG_NUMBER = r"\d{8,}"
 MASKS = (("vin", VIN, "[VIN]"), ("phone", PHONE, "[PHONE]"), ("email", EMAIL, "[EMAIL]"), ("digits", LONG_NUMBER, "[NUM]"))
 
 
-def _mask(text: Column, pattern: str, token: str) -> Column:
-    masked = F.regexp_replace(text, pattern, token)
+def _mask(masked_so_far: Column, original: Column, pattern: str, token: str) -> Column:
+    masked = F.regexp_replace(masked_so_far, pattern, token)
+    if pattern != EMAIL:
+        return masked
     # Few texts hold an @, and looking for one is much cheaper than looking for an address.
-    return F.when(F.contains(text, F.lit("@")), masked).otherwise(text) if pattern == EMAIL else masked
+    # The earlier steps neither add nor remove any, so the original text tells as well.
+    return F.when(F.contains(original, F.lit("@")), masked).otherwise(masked_so_far)
 
 
 def mask_personal(text: Column | str) -> Column:
     """Replace vehicle numbers, phones, e-mails and long digit runs; NULL stays NULL."""
-    out = F.col(text) if isinstance(text, str) else text
+    original = out = F.col(text) if isinstance(text, str) else text
     for _, pattern, token in MASKS:
-        out = _mask(out, pattern, token)
+        out = _mask(out, original, pattern, token)
     return out
 
 
 def mask_tallies(text: Column | str) -> dict[str, Column]:
     """How many of each class were masked, each counted on the text the earlier steps left."""
-    out = F.col(text) if isinstance(text, str) else text
+    original = out = F.col(text) if isinstance(text, str) else text
     tallies = {}
     for name, pattern, token in MASKS:
         tallies[f"n_{name}"] = F.coalesce(F.regexp_count(out, F.lit(pattern)), F.lit(0))
-        out = _mask(out, pattern, token)
+        out = _mask(out, original, pattern, token)
     return tallies
