@@ -1,7 +1,13 @@
-"""Typed tables from the all-text raw feeds."""
+"""Typed tables from the all-text raw feeds.
+
+Each table is a layout, ``output column: (rule, feed field)``, applied by one function; what does
+not fit a rule (the state of an investigation, drifting crash snapshots) is added around it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +16,121 @@ from ..functions.privacy import mask_personal
 from ..functions.text import component_group, component_leaf
 from ..sources.taxonomy import DEFAULT_TAXONOMY, Taxonomy, resolve_make
 
-
-def _keep(df: DataFrame, mapping: dict[str, str]) -> list[Column]:
-    """Renamed columns; those the frame lacks come as NULL text."""
-    return [
-        (F.col(old) if old in df.columns else F.lit(None).cast("string")).alias(new) for new, old in mapping.items()
-    ]
-
-
-def _landed(df: DataFrame) -> list[Column]:
+# Rule -> (expression over a feed field, type when the feed lacks the field).
+_RULES: dict[str, tuple[Callable[[str], Column], str]] = {
+    "text": (lambda c: F.col(c).cast("string"), "string"),
+    "int": (lenient_int, "int"),
+    "long": (lenient_long, "bigint"),
+    "flag": (yes_flag, "boolean"),
+    "group": (component_group, "string"),
+    "leaf": (component_leaf, "string"),
+    "masked": (mask_personal, "string"),
+    "length": (F.length, "int"),
+    "prefix": (lambda c: F.substring(c, 1, 2), "string"),
+}
+
+# Layouts of the typed tables.
+RECALLS = {
+    "record_id": ("text", "record_id"),
+    "campaign_number": ("text", "campno"),
+    "mfr_campaign_number": ("text", "mfgcampno"),
+    "make_norm": ("make", ""),
+    "oem_group": ("make", ""),
+    "model_norm": ("text", "modeltxt"),
+    "model_year": ("int", "yeartxt"),
+    "component_raw": ("text", "compname"),
+    "component_group": ("group", "compname"),
+    "component_leaf": ("leaf", "compname"),
+    "recall_type_code": ("text", "rcltypecd"),
+    "units_affected": ("long", "potaff"),
+    "owner_notify_date": ("date", "odate"),
+    "record_creation_date": ("date", "rcdate"),
+    "manufacture_begin_date": ("date", "bgman"),
+    "manufacture_end_date": ("date", "endman"),
+    "fmvss": ("text", "fmvss"),
+    "defect_description": ("text", "desc_defect"),
+    "consequence_description": ("text", "conequence_defect"),
+    "corrective_action": ("text", "corrective_action"),
+    "notes": ("text", "notes"),
+}
+COMPLAINTS = {
+    "complaint_id": ("text", "cmplid"),
+    "odi_number": ("text", "odino"),
+    "make_norm": ("make", ""),
+    "oem_group": ("make", ""),
+    "model_norm": ("text", "modeltxt"),
+    "model_year": ("int", "yeartxt"),
+    "component_raw": ("text", "compdesc"),
+    "component_group": ("group", "compdesc"),
+    "component_leaf": ("leaf", "compdesc"),
+    "incident_date": ("date", "faildate"),
+    "loaded_date": ("date", "ldate"),
+    "amend_date": ("date", "datea"),
+    "crash": ("flag", "crash"),
+    "fire": ("flag", "fire"),
+    "injured": ("int", "injured"),
+    "deaths": ("int", "deaths"),
+    "miles": ("long", "miles"),
+    "city": ("text", "city"),
+    "state": ("text", "state"),
+    "narrative_clean": ("masked", "cdescr"),
+    "narrative_len_orig": ("length", "cdescr"),
+    "complaint_source": ("text", "cmpl_type"),
+}
+INVESTIGATIONS = {
+    "nhtsa_action_number": ("text", "nhtsa_action_number"),
+    "investigation_type": ("prefix", "nhtsa_action_number"),
+    "subject": ("text", "subject"),
+    "summary": ("text", "summary"),
+    "linked_campaign_number": ("text", "campno"),
+    "mfr_norm": ("make", ""),
+    "oem_group": ("make", ""),
+    "make_raw": ("text", "maketxt"),
+    "model_norm": ("text", "modeltxt"),
+    "model_year": ("int", "yeartxt"),
+    "component_raw": ("text", "component_name"),
+    "component_group": ("group", "component_name"),
+    "open_date": ("date", "action_open_date"),
+    "close_date": ("date", "action_close_date"),
+}
+BULLETINS = {
+    "tsb_id": ("text", "tsb_id"),
+    "nhtsa_item_number": ("text", "nhtsa_item_number"),
+    "replacement_bulletin_no": ("text", "replacement_bulletin_no"),
+    "make_norm": ("make", ""),
+    "oem_group": ("make", ""),
+    "model_norm": ("text", "modeltxt"),
+    "model_year": ("int", "yeartxt"),
+    "component_raw": ("text", "component_desc"),
+    "component_group": ("group", "component_desc"),
+    "mfr_component_system": ("text", "mfr_component_system"),
+    "mfr_component_subsystem": ("text", "mfr_component_subsystem"),
+    "communication_type": ("text", "communication_type"),
+    "summary": ("text", "summary"),
+    "original_date": ("date", "orig_date"),
+    "changed_date": ("date", "changed_date"),
+    "bulletin_year": ("year", "orig_date"),
+}
+
+
+def _apply(df: DataFrame, layout: dict[str, tuple[str, str]], as_of: Column | None) -> list[Column]:
+    """The columns of a layout; a field the feed lacks gives a typed NULL."""
+    rules = {
+        **_RULES,
+        "date": (lambda c: compact_date(c, as_of), "date"),
+        "year": (lambda c: F.year(compact_date(c, as_of)), "int"),
+    }
+    out = []
+    for name, (rule, field) in layout.items():
+        if rule == "make":  # made by resolve_make under its final name
+            out.append(F.col(name))
+            continue
+        express, kind = rules[rule]
+        out.append((express(field) if field in df.columns else F.lit(None).cast(kind)).alias(name))
+    return out
+
+
+def _stamps(df: DataFrame) -> list[Column]:
     """When the raw row was taken in, where known, and when it was typed."""
     taken = F.col("_ingested_at") if "_ingested_at" in df.columns else F.lit(None).cast("timestamp")
     return [taken.alias("_bronze_ingested_at"), F.current_timestamp().alias("_silver_at")]
@@ -26,63 +138,18 @@ def _landed(df: DataFrame) -> list[Column]:
 
 def recalls(raw: DataFrame, as_of: Column | None = None, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     df = resolve_make(raw, "maketxt", taxonomy)
-    return df.select(
-        *_keep(df, {"record_id": "record_id", "campaign_number": "campno", "mfr_campaign_number": "mfgcampno"}),
-        "make_norm",
-        "oem_group",
-        F.col("modeltxt").alias("model_norm"),
-        lenient_int("yeartxt").alias("model_year"),
-        F.col("compname").alias("component_raw"),
-        component_group("compname").alias("component_group"),
-        component_leaf("compname").alias("component_leaf"),
-        F.col("rcltypecd").alias("recall_type_code"),
-        lenient_long("potaff").alias("units_affected"),
-        compact_date("odate", as_of).alias("owner_notify_date"),
-        compact_date("rcdate", as_of).alias("record_creation_date"),
-        compact_date("bgman", as_of).alias("manufacture_begin_date"),
-        compact_date("endman", as_of).alias("manufacture_end_date"),
-        *_keep(
-            df,
-            {
-                "fmvss": "fmvss",
-                "defect_description": "desc_defect",
-                "consequence_description": "conequence_defect",
-                "corrective_action": "corrective_action",
-                "notes": "notes",
-            },
-        ),
-        *_landed(df),
-    )
+    return df.select(*_apply(df, RECALLS, as_of), *_stamps(df))
 
 
 def complaints(raw: DataFrame, as_of: Column | None = None, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """Typed complaints; narratives are masked here and nowhere later."""
     df = resolve_make(raw, "maketxt", taxonomy)
-    return df.select(
-        F.col("cmplid").alias("complaint_id"),
-        F.col("odino").alias("odi_number"),
-        "make_norm",
-        "oem_group",
-        F.col("modeltxt").alias("model_norm"),
-        lenient_int("yeartxt").alias("model_year"),
-        F.col("compdesc").alias("component_raw"),
-        component_group("compdesc").alias("component_group"),
-        component_leaf("compdesc").alias("component_leaf"),
-        compact_date("faildate", as_of).alias("incident_date"),
-        compact_date("ldate", as_of).alias("loaded_date"),
-        compact_date("datea", as_of).alias("amend_date"),
-        yes_flag("crash").alias("crash"),
-        yes_flag("fire").alias("fire"),
-        lenient_int("injured").alias("injured"),
-        lenient_int("deaths").alias("deaths"),
-        lenient_long("miles").alias("miles"),
-        "city",
-        "state",
-        mask_personal("cdescr").alias("narrative_clean"),
-        F.length("cdescr").alias("narrative_len_orig"),
-        F.col("cmpl_type").alias("complaint_source"),
-        *_landed(df),
-    )
+    return df.select(*_apply(df, COMPLAINTS, as_of), *_stamps(df))
+
+
+def bulletins(raw: DataFrame, as_of: Column | None = None, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+    df = resolve_make(raw, "maketxt", taxonomy)
+    return df.select(*_apply(df, BULLETINS, as_of), *_stamps(df))
 
 
 def investigations(
@@ -91,58 +158,19 @@ def investigations(
     taxonomy: Taxonomy = DEFAULT_TAXONOMY,
     resolve_from: str = "maketxt",
 ) -> DataFrame:
-    """Typed investigations.
+    """Typed investigations with their state.
 
     The group is resolved from the make: the manufacturer's legal name (``resolve_from=
     "mfr_name"``) is not in any taxonomy of makes. Open cases count their days up to ``as_of``.
     """
     today = F.current_date() if as_of is None else as_of
     df = resolve_make(raw, resolve_from, taxonomy, make="mfr_norm")
-    df = df.withColumns(
-        {"_open": compact_date("action_open_date", as_of), "_close": compact_date("action_close_date", as_of)}
-    )
-    return df.select(
-        "nhtsa_action_number",
-        F.substring("nhtsa_action_number", 1, 2).alias("investigation_type"),
-        "subject",
-        "summary",
-        F.col("campno").alias("linked_campaign_number"),
-        "mfr_norm",
-        "oem_group",
-        F.col("maketxt").alias("make_raw"),
-        F.col("modeltxt").alias("model_norm"),
-        lenient_int("yeartxt").alias("model_year"),
-        F.col("component_name").alias("component_raw"),
-        component_group("component_name").alias("component_group"),
-        F.col("_open").alias("open_date"),
-        F.col("_close").alias("close_date"),
-        F.datediff(F.coalesce("_close", today), "_open").alias("days_open"),
-        F.when(F.col("_close").isNull(), F.lit("open")).otherwise(F.lit("closed")).alias("status"),
-        *_landed(df),
-    )
-
-
-def bulletins(raw: DataFrame, as_of: Column | None = None, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    df = resolve_make(raw, "maketxt", taxonomy)
-    return df.select(
-        "tsb_id",
-        "nhtsa_item_number",
-        "replacement_bulletin_no",
-        "make_norm",
-        "oem_group",
-        F.col("modeltxt").alias("model_norm"),
-        lenient_int("yeartxt").alias("model_year"),
-        F.col("component_desc").alias("component_raw"),
-        component_group("component_desc").alias("component_group"),
-        "mfr_component_system",
-        "mfr_component_subsystem",
-        "communication_type",
-        "summary",
-        compact_date("orig_date", as_of).alias("original_date"),
-        compact_date("changed_date", as_of).alias("changed_date"),
-        F.year(compact_date("orig_date", as_of)).alias("bulletin_year"),
-        *_landed(df),
-    )
+    dated = df.select(*_apply(df, INVESTIGATIONS, as_of), *_stamps(df))
+    state = [
+        F.datediff(F.coalesce("close_date", today), "open_date").alias("days_open"),
+        F.when(F.col("close_date").isNull(), F.lit("open")).otherwise(F.lit("closed")).alias("status"),
+    ]
+    return dated.select(*INVESTIGATIONS, *state, "_bronze_ingested_at", "_silver_at")
 
 
 def av_crashes(

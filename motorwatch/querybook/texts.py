@@ -189,7 +189,7 @@ def listing_json_docs(t: Tables):
 
 @query(
     "api_results",
-    """SELECT part_key, 'C' || s AS campaign, s * 10 AS units FROM (SELECT p_partkey AS part_key, unnest(range(1, p_size % 4 + 1)) AS s FROM part WHERE p_partkey % 6 <> 5)""",
+    """SELECT part_key, 'C' || s AS campaign, s * 10 AS units FROM (SELECT p_partkey AS part_key, unnest(range(1, p_size % 4 + 1)) AS s FROM part WHERE p_type <> 'PROMO')""",
 )
 def api_results(t: Tables):
     """Stored responses, made from the parts: a list of results, an empty one, or no list at all."""
@@ -201,7 +201,7 @@ def api_results(t: Tables):
             ),
         )
     )
-    body = F.when(F.col("p_partkey") % 6 == 5, F.lit('{"message":"not found"}')).otherwise(
+    body = F.when(F.col("p_type") == "PROMO", F.lit('{"message":"not found"}')).otherwise(
         F.to_json(F.struct(rows.alias("results")))
     )
     return results(t.part.select(F.col("p_partkey").alias("part_key"), body.alias("body")), "body", "campaign:string,units:bigint")

@@ -55,7 +55,7 @@ def traces(t: Tables):
             F.round(F.col("value") * 1000).cast("bigint").alias("execution_duration_ms"),
             F.create_map(
                 F.lit("session_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")),
-                F.lit("model_serving_endpoint_name"), F.when(F.col("user_id") % 3 == 0, "other").otherwise("agent"),
+                F.lit("model_serving_endpoint_name"), F.when(F.col("event_type") == "signup", "other").otherwise("agent"),
             ).alias("tags"),
             F.expr(spans).alias("spans"),
             F.expr(_NOTES).alias("assessments"),
@@ -83,7 +83,7 @@ SQL_VIEW = f"""ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events),
     list_sum(toks)::BIGINT AS total_tokens_used,
     (k % 5 = 2)::INTEGER AS cite_id_present, 0 AS word_count_under, (k % 5 = 3)::INTEGER AS mentions_oem,
     CASE k % 5 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS factual_defect, NULL::INTEGER AS cite_every_claim, CASE k % 5 WHEN 3 THEN 1 END AS stays_in_scope
-  FROM sp WHERE user_id % 3 <> 0 AND len(names) > 0)"""
+  FROM sp WHERE event_type <> 'signup' AND len(names) > 0)"""
 
 
 def view(t: Tables):
@@ -124,11 +124,11 @@ def span_counts_by_user(t: Tables):
 
 @query(
     "json_token_sum",
-    """SELECT event_type, sum(CASE WHEN user_id % 2 = 0 THEN (props->>'$.k')::INTEGER ELSE 0 END)::BIGINT AS tokens FROM events GROUP BY event_type""",
+    """SELECT event_type, sum(CASE WHEN value > 20 THEN (props->>'$.k')::INTEGER ELSE 0 END)::BIGINT AS tokens FROM events GROUP BY event_type""",
 )
 def json_token_sum(t: Tables):
     k = F.get_json_object("props", "$.k").try_cast("int")
-    return t.events.groupBy("event_type").agg(F.sum(F.when(F.col("user_id") % 2 == 0, k).otherwise(0)).alias("tokens"))
+    return t.events.groupBy("event_type").agg(F.sum(F.when(F.col("value") > 20, k).otherwise(0)).alias("tokens"))
 
 
 @query(
@@ -175,9 +175,10 @@ def assessment_flags(t: Tables):
 @query(
     "unscored_traces",
     f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id,
-          event_type || ' ' || user_id AS request_preview, {_TEXT_SQL} AS response_text FROM ev WHERE user_id % 3 <> 0 AND k % 5 IN (0, 1))
-        SELECT *, regexp_matches(response_text, '[0-9]{{2}}V[0-9]{{3,}}') AS cite_id_present, TRUE AS word_count_under,
-          (response_text LIKE '%Tesla%' OR response_text LIKE '%frame%') AS mentions_oem FROM u WHERE trim(coalesce(response_text, '')) <> ''""",
+          event_type || ' ' || user_id AS request_preview, {_TEXT_SQL} AS response_text, CASE k % 5 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 1 ELSE 0 END AS notes
+          FROM ev WHERE event_type <> 'signup')
+        SELECT * EXCLUDE (notes), regexp_matches(response_text, '[0-9]{{2}}V[0-9]{{3,}}') AS cite_id_present, TRUE AS word_count_under,
+          (response_text LIKE '%Tesla%' OR response_text LIKE '%frame%') AS mentions_oem FROM u WHERE notes = 0 AND trim(coalesce(response_text, '')) <> ''""",
 )
 def unscored_traces(t: Tables):
     """Traces still to be scored, with their text-only scores ("frame" holds "ram")."""
@@ -186,9 +187,10 @@ def unscored_traces(t: Tables):
 
 @query(
     "judge_sample",
-    f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id FROM ev
-          WHERE user_id % 3 <> 0 AND k % 5 IN (0, 1) AND k % 4 IN (0, 1)),
-        r AS (SELECT trace_id, row_number() OVER (ORDER BY md5('42|' || trace_id), trace_id) AS rn, count(*) OVER () AS n FROM u)
+    f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id, {_TEXT_SQL} AS response_text,
+            CASE k % 5 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 1 ELSE 0 END AS notes FROM ev WHERE event_type <> 'signup'),
+        r AS (SELECT trace_id, row_number() OVER (ORDER BY md5('42|' || trace_id), trace_id) AS rn, count(*) OVER () AS n
+          FROM u WHERE notes = 0 AND response_text IS NOT NULL)
         SELECT trace_id FROM r WHERE rn <= greatest(1, floor(n * 0.1))""",
 )
 def judge_sample(t: Tables):
