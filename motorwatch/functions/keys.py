@@ -29,8 +29,10 @@ def oem_group_id(group: str = "oem_group") -> Column:
     return F.xxhash64(_text(group, UNKNOWN_GROUP))
 
 
-def chunk_id(dataset: Column, source_id: Column, idx: Column) -> Column:
-    return F.sha2(F.concat_ws("::", dataset, F.coalesce(source_id, F.lit("")), idx.cast("string")), 256)
+def chunk_id(dataset: Column, source_id: Column, idx: Column, variant: Column | None = None) -> Column:
+    """Id of a chunk; ``variant`` tells further texts under the same source id apart and is mostly NULL."""
+    parts = [dataset, F.coalesce(source_id, F.lit("")), idx.cast("string")]
+    return F.sha2(F.concat_ws("::", *parts, *([] if variant is None else [variant])), 256)
 
 
 def document_id(action: Column, url: Column) -> Column:

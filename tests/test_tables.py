@@ -142,6 +142,20 @@ def test_corpus_from_parsed_texts_and_samples(spark, house):
         spark.sql(f"DROP TABLE fleet.{t}")
 
 
+def test_chunk_ids_stay_unique_when_one_id_has_several_texts(frame):
+    rows = [("1", "a"), ("1", "a"), ("1", "b"), ("1", ""), (None, "a"), (None, "c"), ("2", "a"), ("2", ""), ("2", None)]
+    typed_rows = frame(rows, "tsb_id string, summary string").selectExpr(
+        "tsb_id", "summary", *[f"CAST(NULL AS string) AS {c}" for c in ("make_norm", "model_norm", "component_group", "oem_group")],
+        "CAST(NULL AS int) AS model_year", "CAST(NULL AS date) AS original_date",
+    )
+    source = corpus.from_bulletins(typed_rows)
+    got = corpus.narrative_chunks([source]).collect()
+    assert sorted((r["source_id"] or "", r["content"]) for r in got) == [("", "a"), ("", "c"), ("1", "a"), ("1", "b"), ("2", "a")]
+    assert len({r["chunk_id"] for r in got}) == 5
+    plain = {r["chunk_id"] for r in corpus.narrative_chunks([source], unique=False).collect()}
+    assert len(plain) == 3 and plain <= {r["chunk_id"] for r in got}
+
+
 def test_comments_and_contract(spark, house):
     assert house.comment() == 25
     described = {r["col_name"]: r["comment"] for r in spark.sql("DESCRIBE fleet.dim_vehicle").collect()}
