@@ -38,6 +38,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])
+
+
 def over_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
     """``row`` (all columns of ``df`` as one struct, so that no name can clash) and what ``make()`` finds in each text.
 
@@ -46,7 +51,7 @@ def over_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list],
     """
     small_batches(df.sparkSession)
     found = T.StructType.fromDDL(fields)
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), text.cast("binary").alias("text"))
+    packed = df.select(whole_row(df).alias("row"), text.cast("binary").alias("text"))
     schema = T.StructType([packed.schema["row"], *found.fields])
     kinds = [arrow_type(f.dataType) for f in found.fields]
 
@@ -62,11 +67,6 @@ def over_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list],
     return packed.mapInArrow(run, schema)
 
 
-def row_struct_column(name: str) -> Column:
-    """A column of the packed row by its exact name, dots and spaces included."""
-    return F.col("row").getField(name)
-
-
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text (NULL as the empty text); equal texts, and in practice only those, share it."""
     data = F.coalesce(text, F.lit("")).cast("binary")

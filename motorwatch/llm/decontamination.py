@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import over_texts
+from .common import over_texts, whole_row
 
 WIDTH = 13
 #: The bytes that separate words.
@@ -118,7 +118,7 @@ def decontaminate(
     size = F.octet_length("words") + 24 * F.col("n") + F.aggregate("items", F.lit(64), lambda a, x: a + F.length(x) + 64)
     total = windows.agg(F.sum(size)).first()[0] or 0
     blocks = total // broadcast_bytes + 1
-    scanned = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    scanned = docs.select(whole_row(docs).alias("doc"))
     scanned = scanned.select("doc", F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for block in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).select("words", "items").toLocalIterator()

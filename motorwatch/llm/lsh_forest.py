@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import over_texts, small_batches, text_key
+from .common import over_texts, small_batches, text_key, whole_row
 from .components import connected_components
 from .decontamination import normalising_table
 
@@ -269,7 +269,7 @@ def one_per_class(
     """The row with the smallest id of each class; of repeated rows one."""
     labelled = labelled_texts(docs, doc_id, text, similarity, words, trees, recall, block)
     leads = stage(labelled.select("lead.*").distinct(), "leads")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), text_key(docs[text]).alias("key"))
+    rows = docs.select(whole_row(docs).alias("row"), docs[doc_id].alias("id"), text_key(docs[text]).alias("key"))
 
     def kept(wanted: DataFrame) -> DataFrame:
         wanted = wanted.select(F.col("id").alias("lead_id"), F.col("key").alias("lead_key"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .common import whole_row
 
 STEPS = 1_000_000
 PER_ROUND = 100
@@ -105,7 +106,7 @@ def mix(
     count = word_count(docs[text]) if tokens is None else tokens
     tie = draw(F.lit(seed), docs[doc_id])
     given = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"), count.alias("n_tokens"),
+        whole_row(docs).alias("row"), key.alias("key"), count.alias("n_tokens"),
         tie.alias("draw"), F.coalesce(docs[doc_id].cast("string"), F.lit("")).alias("id"),
         F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("digest"),
     )

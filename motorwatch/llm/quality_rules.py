@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 WINDOW = 8
 ROUNDS = 50
 KEEP_AT = 0.5
@@ -68,7 +70,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     listed = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
     first = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), words.alias("w"), lines.alias("l"),
+        whole_row(docs).alias("row"), words.alias("w"), lines.alias("l"),
         F.length(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit("\\p{Lu}{2}")).alias("n_capitals"),

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .common import over_texts, small_batches, text_key
+from .common import small_batches, text_key, whole_row
 
 LENGTH = 400
 KMER = 300
@@ -44,8 +45,11 @@ KMER = 300
 PERIOD = 73
 COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
 _P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, size=256, dtype=np.uint64)
-_CHUNK = 1 << 20
+#: Bytes worked on at a time, and the longest piece of one text.
+_BLOCK, _CHUNK = 1 << 16, 1 << 20
+_PLACE_BITS = np.uint64(21)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,52 +58,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(values: np.ndarray, length: int) -> np.ndarray:
-    """A polynomial hash of each ``length`` consecutive values, by doubling."""
-    part, size, out, done = values, 1, None, 0
-    while True:
-        if length & size:
-            if out is None:
-                out, done = part, size
-            else:
-                n = min(len(out), len(part) - done)
-                out = out[:n] * np.uint64(pow(_P, size, 1 << 64)) + part[done : done + n]
-                done += size
-        if 2 * size > length:
-            return out[: len(values) - length + 1]
-        part = part[: len(part) - size] * np.uint64(pow(_P, size, 1 << 64)) + part[size:]
-        size *= 2
+class Powers:
+    """Powers of the hash base and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def need(self, n: int) -> None:
+        while len(self.up) < n:
+            step = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_P, step, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_P_INVERSE, step, 1 << 64))])
+
+
+def prefix_sums(data: bytes, powers: Powers) -> np.ndarray:
+    """Sums of byte values times falling powers: all window hashes are differences of two of them."""
+    powers.need(len(data) + 1)
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(data, dtype=np.uint8)] * powers.down[: len(data)], out=out[1:])
+    return out
 
 
-def minimizer_positions(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each ``width`` consecutive hashes the place of the least one, the first of equal ones."""
-    value, place, size = hashes, np.arange(len(hashes)), 1
+def window_hashes(sums: np.ndarray, length: int, powers: Powers) -> np.ndarray:
+    """A polynomial hash of each ``length`` consecutive bytes."""
+    n = len(sums) - length
+    return (sums[length:] - sums[:n]) * powers.up[:n]
 
-    def least(lv, lp, rv, rp):
-        right = rv < lv
-        return np.where(right, rv, lv), np.where(right, rp, lp)
 
+def minimizer_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` consecutive hashes the place of the one with the least upper bits, the first of equal ones."""
+    order = hashes ^ (hashes >> np.uint64(32))
+    order *= np.uint64(0xD6E8FEB86659FD93)
+    order >>= _PLACE_BITS
+    order <<= _PLACE_BITS
+    order |= np.arange(len(order), dtype=np.uint64)
+    size = 1
     while 2 * size <= width:
-        value, place = least(value[:-size], place[:-size], value[size:], place[size:])
+        order = np.minimum(order[:-size], order[size:])
         size *= 2
     n, rest = len(hashes) - width + 1, width - size
-    return least(value[:n], place[:n], value[rest : rest + n], place[rest : rest + n])[1]
+    least = np.minimum(order[:n], order[rest : rest + n])
+    return (least & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
 
 
-def units_of(data: bytes, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer hash, content hash and first window of each unit of a text."""
+def units_of(parts: list[bytes], length: int, kmer: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Of each unit of the parts: the part's number, minimizer hash, content hash, first window and window after the last."""
+    data, sizes = b"".join(parts), np.array([len(p) for p in parts])
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    values = _BYTES[np.frombuffer(data, dtype=np.uint8)]
-    hashes = mixed(window_hashes(values, kmer))
-    place = minimizer_positions(hashes, length - kmer + 1)
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    # Content of a unit: its windows are fixed by its first and last one, how many there are, and what lies between; as a unit is
-    # shorter than a window, first and last overlap.
-    whole = window_hashes(values, length)
-    ends = np.append(starts[1:], len(place)) - 1
-    content = mixed(mixed(whole[starts]) + whole[ends] * np.uint64(3) + (ends - starts).astype(np.uint64))
-    return hashes[place[starts]], content, starts
+        return (np.zeros(0, np.int64),) * 5
+    sums = prefix_sums(data, powers)
+    hashes, whole = window_hashes(sums, kmer, powers), window_hashes(sums, length, powers)
+    place = minimizer_places(hashes, length - kmer + 1)
+    offsets = np.cumsum(sizes) - sizes
+    holds = sizes >= length
+    first, after = offsets[holds], (offsets + sizes - length + 1)[holds]
+    inside = np.zeros(len(place) + 1, dtype=np.int8)  # windows that do not run over the end of their part
+    inside[first] += 1
+    inside[after] -= 1
+    opens = np.concatenate([[True], place[1:] != place[:-1]])
+    opens[first] = True
+    starts = np.flatnonzero(opens & (np.cumsum(inside[:-1]) > 0))
+    part = np.searchsorted(first, starts, side="right") - 1
+    stops = np.append(starts[1:], after[-1:])
+    np.minimum(stops, after[part], out=stops)
+    # A unit is shorter than a window, so its first and last window and their distance tell all of its content.
+    content = mixed(mixed(whole[starts]) + whole[stops - 1] * np.uint64(3) + (stops - starts).astype(np.uint64))
+    number, base = np.flatnonzero(holds)[part], first[part]
+    return number, mixed(hashes[place[starts]]).view(np.int64), content.view(np.int64), starts - base, stops - base
 
 
 def pieces_of(data: bytes, length: int) -> list[tuple[int, bytes]]:
@@ -109,28 +134,47 @@ def pieces_of(data: bytes, length: int) -> list[tuple[int, bytes]]:
     return [(at, data[at : at + _CHUNK + length - 1]) for at in range(0, len(data) - length + 1, _CHUNK)]
 
 
-def sampled_texts(docs: DataFrame, text: str, length: int, kmer: int) -> DataFrame:
-    """One row per different text of at least ``length`` bytes: ``node``, ``key``, ``copies`` and its units (``fps``, ``hs``, ``starts``, ``stops``)."""
+def blocks_of(rows: Iterator[tuple], length: int) -> Iterator[list[tuple]]:
+    """(row, offset, piece) in groups of about ``_BLOCK`` bytes."""
+    held, size = [], 0
+    for row, data in rows:
+        for at, piece in pieces_of(data, length):
+            held.append((row, at, piece))
+            size += len(piece)
+            if size >= _BLOCK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
 
-    def make():
-        def work(texts: list) -> list:
-            fps, hs, starts, stops = [], [], [], []
-            for value in texts:
-                found = [(at, len(p), units_of(p, length, kmer)) for at, p in pieces_of(value or b"", length)]
-                fps.append(np.concatenate([f.view(np.int64) for _, _, (f, _, _) in found]))
-                hs.append(np.concatenate([h.view(np.int64) for _, _, (_, h, _) in found]))
-                starts.append(np.concatenate([s + at for at, _, (_, _, s) in found]).astype(np.int64))
-                stops.append(np.concatenate([np.append(s[1:], max(n - length + 1, 0))[: len(s)] + at for at, n, (_, _, s) in found]).astype(np.int64))
-            return [fps, hs, starts, stops]
+def units(docs: DataFrame, text: str, length: int, kmer: int) -> DataFrame:
+    """The units of all texts of at least ``length`` bytes: ``node`` (a row of ``docs``), ``fp``, ``h``, ``a``, ``b``.
 
-        return work
+    Each such row also has one line with its ``key`` and no unit.
+    """
+    small_batches(docs.sparkSession)
+    data = F.coalesce(docs[text], F.lit("")).cast("binary")
+    rows = docs.select(data.alias("text"), text_key(docs[text]).alias("key")).where(F.octet_length("text") >= length)
+    rows = rows.select(F.monotonically_increasing_id().alias("node"), "key", "text")
+    names = ["node", "key", "fp", "h", "a", "b"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
-    long_enough = F.octet_length(F.coalesce(docs[text], F.lit(""))) >= length
-    keyed = docs.where(long_enough).select(text_key(docs[text]).alias("key"), docs[text].alias("text"))
-    fields = "fps array<bigint>, hs array<bigint>, starts array<bigint>, stops array<bigint>"
-    found = over_texts(keyed, keyed["text"], make, fields).select(F.col("row.key").alias("key"), F.struct("fps", "hs", "starts", "stops").alias("units"))
-    different = found.groupBy("key").agg(F.first("units").alias("units"), F.count("*").alias("copies"))
-    return stage(different.select(F.monotonically_increasing_id().alias("node"), "key", "copies", "units.*"), "sampled")
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            count = batch.num_rows
+            blank = [pa.nulls(count, k) for k in kinds[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *blank], names=names)
+            texts = zip(batch.column(0).to_pylist(), (v.as_buffer().to_pybytes() for v in batch.column(2)), strict=True)
+            for block in blocks_of(texts, length):
+                number, fp, h, a, b = units_of([p for _, _, p in block], length, kmer, powers)
+                node, at = np.array([r for r, _, _ in block])[number], np.array([o for _, o, _ in block])[number]
+                columns = [node, pa.nulls(len(node), kinds[1]), fp, h, (a + at).astype(np.int32), (b + at).astype(np.int32)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return stage(rows.mapInArrow(run, "node bigint, key string, fp bigint, h bigint, a int, b int"), "units")
 
 
 def names_of(data: bytes, length: int) -> np.ndarray:
@@ -139,7 +183,10 @@ def names_of(data: bytes, length: int) -> np.ndarray:
     size = 1
     while 3 * size <= length:
         n = len(names) - 2 * size
-        names = mixed(names[:n] + mixed(names[size : size + n] + mixed(names[2 * size :])))
+        triple = names[:n] * np.uint64(_P)
+        triple += names[size : size + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+        triple += names[2 * size :] * np.uint64(0x165667B19E3779F9)
+        names = mixed(triple)
         size *= 3
     n = len(data) - length + 1
     # What is longer than a power of three is named by as many overlapping names as cover it, again as a chain of hashes.
@@ -155,32 +202,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def open_units(docs: DataFrame, text: str, tests: DataFrame) -> DataFrame:
+def open_units(docs: DataFrame, text: str, tests: DataFrame, length: int) -> DataFrame:
     """``unit``, ``node``, ``a``, ``fp``, ``content`` of the units to be compared."""
-    small_batches(docs.sparkSession)
     keyed = docs.select(text_key(docs[text]).alias("key"), docs[text].cast("binary").alias("text"))
     texts = keyed.join(tests, "key").dropDuplicates(["node"])
-    rows = texts.select("node", "text", F.explode("wanted").alias("u")).select(
-        "node", F.col("u.a").alias("a"), F.col("u.fp").alias("fp"), F.expr("substring(text, cast(u.a + 1 as int), cast(u.size as int))").alias("content")
-    )
+    content = F.expr(f"substring(text, u.a + 1, u.b - u.a + {length - 1})")
+    rows = texts.select("node", "text", F.explode("wanted").alias("u")).select("node", "u.a", "u.fp", content.alias("content"))
     return stage(rows.select(F.monotonically_increasing_id().alias("unit"), "*"), "open")
 
 
 def named(units: DataFrame, length: int, pick, columns: list[str]) -> DataFrame:
-    """``unit``, ``fp``, ``at``, ``name`` for the positions that ``pick`` chooses from (content size, other columns)."""
-    small_batches(units.sparkSession)
+    """``unit``, ``fp``, ``at``, ``name`` for the positions that ``pick`` chooses.
+
+    ``pick`` gets the place of each byte in its unit, the units' offsets and the batch, and gives a mask.
+    """
 
     def run(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for row in batch.to_pylist():
-                chosen = pick(len(row["content"]), row)
-                if len(chosen):
-                    name = names_of(row["content"], length)[chosen].view(np.int64)
-                    for to, values in zip(out, (np.full(len(chosen), row["unit"]), np.full(len(chosen), row["fp"]), chosen, name), strict=True):
-                        to.append(values)
-            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=["unit", "fp", "at", "name"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 128):
+                batch = whole.slice(lo, 128)
+                contents = [v.as_buffer().to_pybytes() for v in batch.column(2)]
+                sizes = np.array([len(c) for c in contents])
+                offsets = np.cumsum(sizes) - sizes
+                place = np.arange(sizes.sum()) - np.repeat(offsets, sizes)
+                fits = place <= np.repeat(sizes, sizes) - length
+                at = np.flatnonzero(fits & pick(place, offsets, batch))
+                owner = np.searchsorted(offsets, at, side="right") - 1
+                name = names_of(b"".join(contents), length)[at].view(np.int64) if len(at) else at
+                unit, fp = (batch.column(i).to_numpy()[owner] for i in (0, 1))
+                arrays = [pa.array(c, pa.int64()) for c in (unit, fp, place[at], name)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["unit", "fp", "at", "name"])
 
     return units.select("unit", "fp", "content", *columns).mapInArrow(run, "unit bigint, fp bigint, at bigint, name bigint")
 
@@ -188,105 +239,103 @@ def named(units: DataFrame, length: int, pick, columns: list[str]) -> DataFrame:
 def repeated(rows: DataFrame) -> DataFrame:
     """Per unit, ``places``: the positions whose name occurs again."""
     again = rows.groupBy("fp", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(again, ["fp", "name"]).groupBy("unit").agg(F.collect_list("at").alias("places"))
+    return rows.join(again, ["fp", "name"]).groupBy("unit").agg(F.collect_list(F.col("at").cast("int")).alias("places"))
 
 
-def repeats_in(units: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """``node``, ``start`` of every window inside the units that equals another one."""
+def repeats_in(open: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """``node``, ``starts``: of every window inside the units that equals another one."""
 
-    def sample(size: int, row: dict) -> np.ndarray:
-        places = np.arange(size - (length - period + 1) + 1)
-        return places[np.isin(places % period, cover)]
+    def sample(place: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        return np.isin(np.arange(period), cover)[place % period]
 
-    def near_sample(size: int, row: dict) -> np.ndarray:
-        ahead = np.zeros(size + period + 1, dtype=np.int64)
-        for at in row["places"]:
-            ahead[max(at - period + 1, 0)] += 1
-            ahead[at + 1] -= 1
-        return np.flatnonzero(np.cumsum(ahead)[: size - length + 1] > 0)
+    def near_sample(place: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(3)
+        repeats, of = lists.flatten().to_numpy(), np.repeat(offsets, lists.value_lengths().to_numpy())
+        ahead = np.zeros(len(place) + 1, dtype=np.int64)
+        np.add.at(ahead, np.maximum(of + repeats - period + 1, of), 1)
+        np.add.at(ahead, of + repeats + 1, -1)
+        return np.cumsum(ahead[:-1]) > 0
 
-    sampled = stage(named(units, length - period + 1, sample, []), "names")
-    near = units.join(repeated(sampled), "unit")
+    sampled = stage(named(open, length - period + 1, sample, []), "names")
+    near = open.join(repeated(sampled), "unit")
     marked = repeated(stage(named(near, length, near_sample, ["places"]), "names"))
-    return units.select("unit", "node", "a").join(marked, "unit").select("node", F.explode("places").alias("at"), "a").select(
-        "node", (F.col("a") + F.col("at")).alias("start")
-    )
+    starts = F.transform("places", lambda at: F.col("a") + at)
+    return open.select("unit", "node", "a").join(marked, "unit").select("node", starts.alias("starts"))
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, kmer: int = KMER, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """``key`` (of a text), ``spans`` (start and stop of windows that occur twice, as [start of first, start after last])."""
+    """What repeats in a text, by its ``key``: ``whole``, or ``spans`` (first window, window after the last) and single ``starts``."""
     spark = docs.sparkSession
-    texts = sampled_texts(docs, text, length, kmer)
+    small_batches(spark)
+    found = units(docs, text, length, kmer)
+    texts = found.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies"))
+    texts = stage(texts, "texts")
     release(spark)
-    entries = texts.select("node", "copies", F.explode(F.arrays_zip("fps", "hs", "starts", "stops")).alias("u"))
-    entries = entries.select("node", "copies", F.col("u.fps").alias("fp"), F.col("u.hs").alias("h"), F.col("u.starts").alias("a"), F.col("u.stops").alias("b"))
-    per_unit = entries.groupBy("fp", "h").agg(F.sum("copies").alias("n"), F.min("node").alias("first"))
+    entries = found.where("key is null").drop("key")
+    per_unit = entries.groupBy("fp", "h").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     per_fp = per_unit.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("contents")).where("total > 1")
-    found = per_unit.join(per_fp, "fp").select("fp", "h", (F.col("n") > 1).alias("again"), (F.col("contents") > 1).alias("open"), "first")
-    found = stage(found, "units")
+    kinds = per_unit.join(per_fp, "fp").select("fp", "h", (F.col("n") > 1).alias("again"), (F.col("contents") > 1).alias("open"), "first")
+    seen = entries.join(stage(kinds, "kinds"), ["fp", "h"])
+    test = F.col("open") & (F.col("first") == F.col("node"))
+    seen = stage(seen.select("node", "fp", "h", "a", "b", "again", test.alias("test")).where("again or test"), "seen")
     release(spark)
-    seen = entries.join(found, ["fp", "h"])
     # Of equal contents one stands for all in the comparison.
-    seen = seen.groupBy("node", "fp", "h").agg(
-        F.max("again").alias("again"), F.max(F.col("open") & (F.col("first") == F.col("node"))).alias("test"),
-        F.min("copies").alias("copies"), F.collect_list(F.struct("a", "b")).alias("at"),
-    )
-    seen = stage(seen, "seen")
-    whole = texts.where("copies > 1").select("node", F.lit(True).alias("whole"))
-    marks = seen.where("again and copies = 1").select("node", F.explode("at").alias("span"))
-    wanted = F.struct(F.col("at")[0].a.alias("a"), (F.col("at")[0].b - F.col("at")[0].a + (length - 1)).alias("size"), "fp")
-    tests = seen.where("test").groupBy("node").agg(F.collect_list(wanted).alias("wanted"))
-    tests = tests.join(texts.select("node", "key"), "node")
-    units = open_units(docs, text, tests)
+    wanted = seen.where("test").dropDuplicates(["node", "fp", "h"]).groupBy("node").agg(F.collect_list(F.struct("a", "b", "fp")).alias("wanted"))
+    keys = found.where("key is not null").select("node", "key")
+    open = open_units(docs, text, wanted.join(keys, "node"), length)
     release(spark)
-    starts = repeats_in(units, length, period, cover)
-    single = starts.select("node", F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b")).alias("span"))
-    spans = marks.unionByName(single).groupBy("node").agg(F.collect_list("span").alias("spans"))
-    spans = texts.select("node", "key").join(spans, "node", "left").join(whole, "node", "left")
-    spans = stage(spans.where("spans is not null or whole").select("key", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "spans")
+    starts = repeats_in(open, length, period, cover)
+    spans = seen.where("again").groupBy("node").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    starts = starts.groupBy("node").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    whole = F.col("copies") > 1
+    every = texts.join(spans, "node", "left").join(starts, "node", "left").where(whole | F.col("spans").isNotNull() | F.col("starts").isNotNull())
+    every = every.select("key", whole.alias("whole"), *[F.when(~whole, F.col(c)).alias(c) for c in ("spans", "starts")])
+    every = stage(every, "spans")
     release(spark)
-    return spans
+    return every
 
 
 _RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
+def cut(data: bytes, first: np.ndarray, last: np.ndarray, length: int, whole: bool) -> tuple:
+    """The result's columns for a text whose windows from ``first`` up to ``last`` repeat."""
+    if whole:
+        return len(data), len(data), int(len(data) > 0), hashlib.sha256(b"").hexdigest(), b""
+    if not len(first):
+        return len(data), 0, 0, hashlib.sha256(data).hexdigest(), data
+    order = np.argsort(first, kind="stable")
+    start, stop = first[order], np.maximum.accumulate(last[order] + length - 1)
+    opens = np.concatenate([[True], start[1:] > stop[:-1]])
+    starts, stops = start[opens].tolist(), stop[np.append(np.flatnonzero(opens)[1:] - 1, len(stop) - 1)].tolist()
+    kept = b"".join(data[a:b] for a, b in zip([0, *stops], [*starts, len(data)], strict=True))
+    return len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept
+
+
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, kmer: int = KMER, period: int = PERIOD, cover: tuple[int, ...] = COVER,
 ) -> DataFrame:
     """``row`` (the document), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes)."""
     if not (0 < period < length and 0 < kmer <= length):
         raise ValueError("the period must be below the length and the minimizers' strings no longer than it")
-    small_batches(docs.sparkSession)
     spans = repeated_spans(docs, text, length, kmer, period, cover)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(docs[text]).alias("key"), docs[text].cast("binary").alias("text"))
-    joined = rows.join(spans, "key", "left").select("row", "text", "spans", "whole")
+    rows = docs.select(whole_row(docs).alias("row"), text_key(docs[text]).alias("key"), docs[text].cast("binary").alias("text"))
+    joined = rows.join(spans, "key", "left").select("row", "text", "whole", "spans.a", "spans.b", "starts")
     schema = T.StructType([joined.schema["row"], *T.StructType.fromDDL(_RESULT).fields])
-
-    def cut(data: bytes, spans: list[dict] | None, whole: bool | None) -> tuple:
-        if whole:
-            runs = [(0, len(data))] if data else []
-        else:
-            runs = []
-            for a, b in sorted((s["a"], s["b"] + length - 1) for s in spans or []):
-                if runs and a <= runs[-1][1]:
-                    runs[-1] = (runs[-1][0], max(runs[-1][1], b))
-                else:
-                    runs.append((a, b))
-        kept, at = [], 0
-        for a, b in runs:
-            kept.append(data[at:a])
-            at = b
-        left = b"".join([*kept, data[at:]])
-        return len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left
-
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    none = np.zeros(0, dtype=np.int64)
+
+    def numbers(value: pa.Scalar) -> np.ndarray:
+        return value.values.to_numpy(zero_copy_only=False).astype(np.int64) if value.is_valid else none
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [cut(t or b"", s, w) for t, s, w in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                part, found = batch.slice(at, 64), []
+                for i in range(part.num_rows):
+                    a, b, starts = (numbers(part.column(c)[i]) for c in (3, 4, 5))
+                    first, last = np.concatenate([a, starts]), np.concatenate([b, starts + 1])
+                    found.append(cut(part.column(1)[i].as_py() or b"", first, last, length, bool(part.column(2)[i].as_py())))
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
