@@ -1,3 +1,13 @@
-"""Vehicle-safety analytics on Spark: feeds, typed tables, star schema, corpus, monitoring."""
+"""Vehicle-safety analytics on Spark: feeds, typed tables, star schema, corpus, monitoring.
 
-__version__ = "0.1.0"
+Functions of this package that run in Python workers travel by value: a session started from any
+folder can use it, and workers need no copy of it on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# One call as the whole text; one quoted keyword argument.
-CALL = r"(?s)\A\s*(\w+)\s*\((.*)\)\s*\z"
-KWARG = r'(\w+)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|' + r"'((?:[^'\\]|\\.)*)')"
+# A quoted keyword argument: a name, an equals sign, and a value that runs to the next quote of its
+# own kind; a backslash takes the sign after it along.
+_ARGUMENT = r"""(\w+)\s*=\s*(["'])((?:\\.|(?!\2)[^\\])*)\2"""
 
 
 def textual_call(text: Column | str, allowed: tuple[str, ...]) -> Column:
@@ -19,23 +19,20 @@ def textual_call(text: Column | str, allowed: tuple[str, ...]) -> Column:
     last value. A call without readable arguments is no call.
     """
     text = F.col(text) if isinstance(text, str) else text
-    name = F.regexp_extract(text, CALL, 1)
-    body = strip(F.regexp_extract(text, CALL, 2))
+    call = strip(text)
+    opened = F.instr(call, "(")
+    name = strip(F.substr(call, F.lit(1), F.greatest(opened - 1, F.lit(0))))
+    whole = (opened > 0) & F.endswith(call, F.lit(")")) & name.rlike(r"\A\w+\z")
+    body = F.when(whole, strip(F.substr(call, opened + 1, F.length(call) - opened - 1))).otherwise("")
 
     from_object = F.when(F.startswith(body, F.lit("{")), F.from_json(body, "map<string,string>"))
 
-    keys = F.regexp_extract_all(body, F.lit(KWARG), F.lit(1))
-    quoted = F.regexp_extract_all(body, F.lit(KWARG), F.lit(2))
-    single = F.regexp_extract_all(body, F.lit(KWARG), F.lit(3))
-    pairs = F.zip_with(
-        F.arrays_zip(keys.alias("k"), quoted.alias("d")),
-        single,
-        lambda kd, s: F.struct(kd["k"].alias("key"), F.concat(kd["d"], s).alias("value")),
-    )
+    keys, values = (F.regexp_extract_all(body, F.lit(_ARGUMENT), F.lit(group)) for group in (1, 3))
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     last = F.filter(
         pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda later: later["key"] == p["key"])
     )
     from_words = F.when(F.size(pairs) > 0, F.map_from_entries(last))
 
     args = F.coalesce(from_object, from_words)
-    return F.when(name.isin(*allowed) & args.isNotNull(), F.struct(name.alias("name"), args.alias("args")))
+    return F.when(whole & name.isin(*allowed) & args.isNotNull(), F.struct(name.alias("name"), args.alias("args")))

@@ -43,3 +43,9 @@ def content_hash(*columns: str) -> Column:
     """Change detection over a row: every column as JSON, NULLs included, then SHA-256."""
     body = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
     return F.sha2(body, 256)
+
+
+def content_bits(*columns: str) -> tuple[Column, Column]:
+    """Change detection over a row as two 64-bit numbers, which aggregate without sorting."""
+    body = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
+    return F.xxhash64(body), F.xxhash64(F.lit(1), body)

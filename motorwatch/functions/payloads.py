@@ -76,11 +76,19 @@ def listed_documents(body: Column | str) -> Column:
 
 
 def _collapse_dots(path: Column) -> Column:
-    """Resolve ``./`` and ``../`` inside a path, up to sixteen levels deep."""
-    out = F.regexp_replace(path, r"/(?:\./)+", "/")
-    for _ in range(16):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    return F.regexp_replace(out, r"\A/(?:\.\./)+", "/")
+    """Resolve ``.`` and ``..`` segments of a path, any number of them, up to its query or fragment."""
+    own = F.regexp_extract(path, r"(?s)\A[^?#]*", 0)
+    parts = F.split(own, "/")
+    ends_in_dots = F.element_at(parts, -1).isin(".", "..")
+    parts = F.when(ends_in_dots, F.array_append(parts, F.lit(""))).otherwise(parts)
+    folded = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == ".", kept)
+        .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1))))
+        .otherwise(F.array_append(kept, part)),
+    )
+    return F.concat(F.array_join(folded, "/"), F.substr(path, F.length(own) + 1))
 
 
 def resolve_url(base: Column, link: Column) -> Column:
@@ -93,7 +101,7 @@ def resolve_url(base: Column, link: Column) -> Column:
     folder = F.coalesce(F.nullif(F.regexp_replace(base_path, r"[^/]*\z", ""), F.lit("")), F.lit("/"))
 
     def rooted(path: Column) -> Column:
-        dotted = F.contains(path, F.lit("./"))
+        dotted = path.rlike(r"/\.\.?(?:[/?#]|\z)")
         return F.concat(origin, F.when(dotted, _collapse_dots(path)).otherwise(path))
 
     return (

@@ -16,12 +16,12 @@ RUBRIC_MIN = 3.5
 MAX_WORDS = 400
 PENDING_PREFIX = "TBD:"
 
-# Fixed value: shapes of a cited source id (recall campaign, investigation, bulletin,
-# complaint, bare eight digits).
+# Fixed value: shapes of a cited source id (recall campaign, child seats included; investigation, with
+# and without a hyphen; bulletin; complaint; bare eight digits).
 CITE_ID = (
     r"(?i)(?:"
-    r"\b\d{2}[VEIT]-?\d{3,}-?\d*\b"
-    r"|\b(?:PE|EA|DP|RQ|AQ)\d{2}-\d{3}\b"
+    r"\b\d{2}[VEITC]-?\d{3,}-?\d*\b"
+    r"|\b(?:PE|EA|DP|RQ|AQ)\d{2}-?\d{3}\b"
     r"|\bTSB[- #]*\d{6,}\b"
     r"|\bODI(?:[- ]?ID)?[- #]*\d{6,}\b"
     r"|\b\d{8}\b"
@@ -69,6 +69,24 @@ def score_exact(expected: Column | str, answer: Column | str) -> Column:
     )
 
 
+def exact_breakdown(expected: Column | str, answer: Column | str) -> Column:
+    """Why :func:`score_exact` decided as it did: ``struct(kind, coverage, found, missing)``.
+
+    ``kind`` is list, number or text; ``found`` and ``missing`` hold a list's items, or the expected
+    value itself, and ``coverage`` is the share found.
+    """
+    want, got = strip(_text(expected)), F.lower(_text(answer))
+    items = F.filter(F.transform(F.split(F.lower(want), r"\|"), strip), lambda item: item != "")
+    listed = F.contains(want, F.lit("|"))
+    kind = F.when(listed, "list").when(want.rlike(r"\A-?\d+(?:\.\d+)?\z"), "number").otherwise("text")
+    hit = score_exact(expected, answer) == 1.0
+    none, alone = F.array().cast("array<string>"), F.array(want)
+    found = F.when(listed, F.filter(items, lambda item: F.contains(got, item))).when(hit, alone).otherwise(none)
+    missing = F.when(listed, F.filter(items, lambda item: ~F.contains(got, item))).when(hit, none).otherwise(alone)
+    share = F.size(found) / F.greatest(F.size(found) + F.size(missing), F.lit(1))
+    return F.struct(kind.alias("kind"), share.alias("coverage"), found.alias("found"), missing.alias("missing"))
+
+
 def _squash(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), r"[^a-z0-9]", "")
 

@@ -66,11 +66,14 @@ def new_rows(
 ) -> DataFrame:
     """Rows of ``batch`` to insert: one per key, and only keys the target does not have.
 
-    The batch is reduced to one row per key first, so the anti-join never meets a hot key, and
-    the target contributes nothing but its key columns.
+    The batch is reduced to one row per key first, so the anti-join never meets a hot key. The
+    target contributes its key columns only, and of these the batch's keys: where the batch is small
+    next to the target, Spark broadcasts its keys and the target is read but not moved.
     """
     once = one_per_key(batch, key, order, keep)
+    asked = batch.select(*[F.col(k).alias(f"_b_{k}") for k in key]).distinct()
     known = target.select(*[F.col(k).alias(f"_t_{k}") for k in key])
+    known = known.join(asked, null_safe([(f"_t_{k}", f"_b_{k}") for k in key]), "left_semi")
     return once.join(known, null_safe([(k, f"_t_{k}") for k in key]), "left_anti")
 
 

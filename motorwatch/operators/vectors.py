@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,8 +27,11 @@ _COMPARE = {
     ">": lambda c, v: c > v,
     "<": lambda c, v: c < v,
 }
-# Queries are held by every task: at most this many vectors per pass over the corpus.
-QUERIES_PER_PASS = 1_024
+# Queries and corpus rows meet in blocks of about these many vectors; a task holds one of each.
+QUERIES_PER_BLOCK = 512
+ROWS_PER_BLOCK = 2_048
+#: Parts over which the corpus' blocks are dealt where the query blocks are too many to be broadcast.
+SLOTS = 256
 SCORE_DIGITS = 9
 
 
@@ -77,80 +80,84 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` corpus rows with the highest cosine per query, ties broken by id.
 
-    Filters run before any vector is touched. Each task multiplies its batches with the query
-    matrix and keeps ``k`` rows per query, so what moves is tasks x queries x k rows, never all
-    pairs. The query matrix is the only thing every task holds: queries are taken in passes of
-    about ``QUERIES_PER_PASS``, split by a hash of their id. Scores are rounded to nine digits before ranking, so that the
-    order does not hang on the last bits of a sum. Zero vectors have no direction and no score.
+    Filters run before any vector is touched. Both sides are packed into blocks, one row each, and
+    every block of the corpus meets every block of queries in a join on a slot that all query blocks
+    are dealt to; Spark broadcasts them while they are small and shuffles by slot otherwise. A task
+    multiplies two blocks at a time and passes on ``k`` rows per query and block at most, fewer once it
+    has seen better ones, never all pairs. Nothing passes through the driver but the number of queries,
+    and the plan is the same for any number. Scores are rounded to nine digits before ranking, so that
+    the order does not hang on the last bits of a sum. Zero vectors have no direction and no score.
     """
+    kept = [id_col, *columns]
     source = corpus.where(metadata_filter(filters, allowed)).where(F.col(vector).isNotNull())
-    source = source.select(F.col(id_col), F.col(vector), *columns)
-
     asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")).where("_v IS NOT NULL")
     id_type = asked.schema["_q"].dataType
-    first = asked.limit(QUERIES_PER_PASS + 1).collect()
-    if len(first) <= QUERIES_PER_PASS:
-        blocks = [first]
-    else:
-        stored = stage(asked, "vector-queries")
-        passes = -(-stored.count() // (QUERIES_PER_PASS // 2))
-        part = F.pmod(F.xxhash64("_q"), F.lit(passes))
-        blocks = (stored.where(part == i).collect() for i in range(passes))
-    hits = [_one_pass(source, rows, k, id_col, vector, columns, query_id, id_type) for rows in blocks]
-    best = reduce(lambda a, b: a.unionByName(b), hits)
+    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
 
+    stored = stage(asked, "vector-queries")
+    count = -(-stored.count() // QUERIES_PER_BLOCK) or 1
+    asked_blocks = _packed(stored.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(count))), ["_q", "_v"])
+    asked_blocks = asked_blocks.select(F.col("_b").alias("_qb"), F.col("_blob").alias("_queries"), F.explode(slots).alias("_slot"))
+    row_blocks = _packed_as_they_lie(source.select(*kept, F.col(vector)))
+    met = row_blocks.join(asked_blocks, "_slot").select("_rows", "_queries", "_qb")
+
+    schema = T.StructType([T.StructField(query_id, id_type), T.StructField("score", T.DoubleType()), *[source.schema[c] for c in kept]])
+    best = met.mapInArrow(_searcher(k, id_col, vector, query_id, to_arrow_type(id_type), kept), schema)
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col).asc())
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _one_pass(
-    source: DataFrame,
-    rows: list[Row],
-    k: int,
-    id_col: str,
-    vector: str,
-    columns: Sequence[str],
-    query_id: str,
-    id_type: T.DataType,
-) -> DataFrame:
-    ids = [r["_q"] for r in rows]
-    kept = [id_col, *columns]
-    schema = T.StructType(
-        [
-            T.StructField(query_id, id_type),
-            T.StructField("score", T.DoubleType()),
-            *[source.schema[c] for c in kept],
-        ]
-    )
-    if not rows:
-        return source.sparkSession.createDataFrame([], schema)
-    matrix = _unit_rows(np.asarray([r["_v"] for r in rows], dtype=np.float64))
-    label_type = to_arrow_type(id_type)
-    shared = source.sparkSession.sparkContext.broadcast((ids, matrix))
+def _blob(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per block ``_b``, whose size its hash bounds."""
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table({"_b": pa.array([key[0].as_py()], pa.int64()), "_blob": pa.array([_blob(table.select(columns))], pa.binary())})
+
+    return df.groupBy("_b").applyInArrow(pack, "_b bigint, _blob binary")
+
+
+def _packed_as_they_lie(df: DataFrame) -> DataFrame:
+    """Rows in blocks of a task's neighbours, dealt over the slots in turn."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_BLOCK):
+                blob = _blob(pa.Table.from_batches([batch.slice(at, ROWS_PER_BLOCK)]))
+                yield pa.RecordBatch.from_arrays([pa.array([n % SLOTS], pa.int32()), pa.array([blob], pa.binary())], names=["_slot", "_rows"])
+                n += 1
+
+    return df.mapInArrow(pack, "_slot int, _rows binary")
+
 
+def _searcher(k: int, id_col: str, vector: str, query_id: str, label_type: pa.DataType, kept: list[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = shared.value
-        best: list[pa.Table | None] = [None] * len(names)
-        floors = np.full(len(names), -np.inf)  # a row must score at least this to matter
+        floors: dict[int, np.ndarray] = {}  # per query block: the k-th best score that this task has passed on
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            scores = np.round(asked @ _unit_rows(_matrix(batch.column(vector))).T, SCORE_DIGITS)
-            scores = np.where(np.isnan(scores), -np.inf, scores)
-            payload = pa.Table.from_batches([batch.select(kept)])
-            for q in np.flatnonzero(scores.max(axis=1) >= floors):
-                row = scores[q]
-                floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                pick = np.flatnonzero((row >= max(floor, floors[q])) & (row > -np.inf))
-                found = payload.take(pa.array(pick)).append_column("score", pa.array(row[pick]))
-                merged = found if best[q] is None else pa.concat_tables([best[q], found])
-                best[q] = merged.sort_by([("score", "descending"), (id_col, "ascending")]).slice(0, k)
-                if best[q].num_rows == k:
-                    floors[q] = best[q].column("score")[k - 1].as_py()
-        for q, table in enumerate(best):
-            if table is not None and table.num_rows:
-                label = pa.array([names[q]] * table.num_rows, label_type)
-                out = table.append_column(query_id, label).select([query_id, "score", *kept])
-                yield from out.combine_chunks().to_batches()
-
-    return source.mapInArrow(search, schema)
+            for i in range(batch.num_rows):
+                rows, asked = (pa.ipc.open_stream(batch.column(c)[i].as_buffer()).read_all().combine_chunks() for c in (0, 1))
+                if not rows.num_rows or not asked.num_rows:
+                    continue
+                queries = _unit_rows(_matrix(asked.column("_v").chunk(0)))
+                scores = np.round(queries @ _unit_rows(_matrix(rows.column(vector).chunk(0))).T, SCORE_DIGITS)
+                scores = np.where(np.isnan(scores), -np.inf, scores)
+                floor = floors.setdefault(batch.column(2)[i].as_py(), np.full(len(queries), -np.inf))
+                n = min(k, scores.shape[1])
+                cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+                q, r = np.nonzero((scores >= np.maximum(cut, floor)[:, None]) & (scores > -np.inf))
+                if scores.shape[1] >= k:
+                    np.maximum(floor, cut, out=floor)
+                if len(q):
+                    labels = asked.column("_q").take(pa.array(q)).cast(label_type)
+                    found = rows.select(kept).take(pa.array(r))
+                    out = found.append_column(query_id, labels).append_column("score", pa.array(scores[q, r]))
+                    yield from out.select([query_id, "score", *kept]).combine_chunks().to_batches()
+
+    return search

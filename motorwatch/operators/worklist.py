@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,11 @@ def unscraped(cases: DataFrame, scraped: DataFrame, case_id: str, opened: str, s
     return wanted.join(scraped.select(F.col(case_id).alias("_seen")), F.col(case_id) == F.col("_seen"), "left_anti")
 
 
-def track(work: DataFrame, text: Column, version: str, doc_id: str = "doc_id", path: str = "volume_path") -> DataFrame:
-    """Parsed text and its tracker columns side by side, one verdict per document.
+def track(
+    work: DataFrame, text: Column, version: str, doc_id: str = "doc_id", path: str = "volume_path",
+    details: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Parsed text, its ``details`` and its tracker columns side by side, one verdict per document.
 
     A document that is missing (``content`` NULL) or yields no text is recorded as an error, so
     it is not queued again and does not fail its neighbours.
@@ -46,6 +49,7 @@ def track(work: DataFrame, text: Column, version: str, doc_id: str = "doc_id", p
         F.lit(version).alias("parser_version"),
         F.when(problem.isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("parse_status"),
         problem.alias("error_message"),
+        *[value.alias(name) for name, value in (details or {}).items()],
     )
 
 
@@ -61,10 +65,12 @@ def drain(
     path: str,
     version: str,
     budget: int = 200,
+    details: Mapping[str, Column] | None = None,
 ) -> dict[str, int]:
     """One run over the backlog: pick, load, parse, append texts and tracker rows, tally.
 
-    The parsed batch is written to shared storage once; texts, tracker rows and tally all read
+    ``details`` are further columns of the parsed table, such as pages, document metadata or the
+    parser's raw output, worked out from ``full_text`` and the loaded columns. The parsed batch is written to shared storage once; texts, tracker rows and tally all read
     that file, so nothing is parsed twice.
     """
     from ..session import stage
@@ -73,29 +79,30 @@ def drain(
         spark.createDataFrame([], TRACKER_SCHEMA).write.saveAsTable(tracker_table)
     todo = pending(docs.select(doc_id, path), spark.table(tracker_table), doc_id, budget=budget)
     loaded = load(todo.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("volume_path")))
-    batch = stage(track(loaded, text(loaded), version), "parsed")
+    details = details or {}
+    batch = stage(track(loaded, text(loaded), version, details=details), "parsed")
 
     ok = batch.where("parse_status = 'ok'")
-    ok.select("doc_id", "volume_path", "full_text", "parsed_at", "parser_version").write.mode("append").saveAsTable(
+    ok.select("doc_id", "volume_path", "full_text", "parsed_at", "parser_version", *details).write.mode("append").saveAsTable(
         parsed_table
     )
-    batch.drop("full_text").write.mode("append").saveAsTable(tracker_table)
+    batch.drop("full_text", *details).write.mode("append").saveAsTable(tracker_table)
     tally = batch.agg(F.count("*").alias("queued"), F.count_if(F.col("parse_status") == "ok").alias("ok")).first()
     return {"queued": tally["queued"], "parsed_ok": tally["ok"], "parsed_err": tally["queued"] - tally["ok"]}
 
 
 def point_lookup(ids: DataFrame, table: DataFrame, key: str, columns: list[str], max_length: int = 64) -> DataFrame:
-    """One row per asked id with ``found`` and the columns of its first match.
+    """One row per asked id with ``found``, the columns of its first match, and ``reason``.
 
-    Ids are taken as text; one longer than ``max_length`` is an error when it is met.
+    Ids are taken as text; one longer than ``max_length`` is not looked up, and ``reason`` says so.
     """
     from .merge import one_per_key
 
-    asked = F.col(key).cast("string")
-    checked = F.when(F.length(asked) > max_length, F.raise_error(F.lit("id too long")).cast("string")).otherwise(asked)
-    wanted = ids.select(checked.alias(key)).distinct()
+    too_long = F.length(key) > max_length
+    wanted = ids.select(F.col(key).cast("string").alias(key)).distinct()
     rows = table.select(F.col(key).cast("string").alias("_id"), *columns)
-    rows = one_per_key(rows.join(wanted, F.col("_id") == F.col(key), "left_semi"), ["_id"], columns)
+    short = wanted.where(~F.coalesce(too_long, F.lit(False)))
+    rows = one_per_key(rows.join(short, F.col("_id") == F.col(key), "left_semi"), ["_id"], columns)
     return wanted.join(rows, F.col(key) == F.col("_id"), "left").select(
-        key, F.col("_id").isNotNull().alias("found"), *columns
+        key, F.col("_id").isNotNull().alias("found"), *columns, F.when(too_long, F.lit("id too long")).alias("reason")
     )

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scoring import cite_id_present, mentions_any, word_count_under
 from ..functions.text import strip
 from ..functions.traces import SpanNames, flag, judged, response_text, span_counts, token_total
+from ..operators.catalog import rebuild
 from ..operators.quantiles import exact_quantile
 from ..operators.sampling import exact_size
+from ..session import stage
 
 CHEAP_SCORES = ("cite_id_present", "word_count_under", "mentions_oem")
 JUDGED_SCORES = ("factual_defect", "cite_every_claim", "stays_in_scope")
@@ -46,6 +48,11 @@ def register_trace_view(spark: SparkSession, traces_table: str, view: str, endpo
     trace_view(spark.table(traces_table), endpoint).createOrReplaceTempView(view)
 
 
+def publish_trace_table(spark: SparkSession, traces_table: str, table: str, endpoint: str | None = None) -> None:
+    """The per-trace view as a table of the catalog, for dashboards in other sessions; rebuilt on each call."""
+    rebuild(trace_view(spark.table(traces_table), endpoint), table)
+
+
 def counts_from_span_rows(
     spans: DataFrame, trace: str = "trace_id", name: str = "name", attributes: str = "attributes", names: SpanNames = SpanNames()
 ) -> DataFrame:
@@ -83,7 +90,11 @@ def cheap_scores(answers: DataFrame, text: str = "response_text") -> DataFrame:
 
 
 def judge_sample(answers: DataFrame, ids: list[str], share: float = 0.1, seed: int = 42) -> DataFrame:
-    """The share of answers given to a judge, at least one, the same on every run."""
+    """The share of answers given to a judge, at least one, the same on every run.
+
+    The answers, often a view that parses JSON, are worked out once and written; drawing reads them three times.
+    """
+    answers = stage(answers, "answers")
     size = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
     return exact_size(answers, ids, size, seed=seed)
 

@@ -29,9 +29,20 @@ def _stack(frames: list[DataFrame], columns: dict[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), picked).distinct()
 
 
+def with_vehicle(df: DataFrame) -> DataFrame:
+    """Typed tables in the columns of the vehicle key, as the facts see them.
+
+    Investigations have their make under another name; crash reports may lack model and year.
+    """
+    if "make_norm" not in df.columns and "mfr_norm" in df.columns:
+        df = df.withColumnRenamed("mfr_norm", "make_norm")
+    absent = {c: F.lit(None).cast(t) for c, t in (("model_norm", "string"), ("model_year", "int")) if c not in df.columns}
+    return df.withColumns(absent) if absent else df
+
+
 def dim_vehicle(*typed: DataFrame) -> DataFrame:
     """One row per (make, model, year). Missing text is '' here, so each key occurs once."""
-    rows = _stack(list(typed), {"make_norm": "string", "model_norm": "string", "model_year": "int"})
+    rows = _stack([with_vehicle(df) for df in typed], {"make_norm": "string", "model_norm": "string", "model_year": "int"})
     return rows.withColumn("vehicle_key", vehicle_key())
 
 
@@ -115,7 +126,7 @@ def investigations_fact(typed: DataFrame) -> DataFrame:
     The leaf is the raw component, as in the component dimension, and model and year stay, so
     that all three keys meet their dimensions.
     """
-    src = with_leaf(typed.withColumnRenamed("mfr_norm", "make_norm"))
+    src = with_leaf(with_vehicle(typed))
     return _with_keys(src).select(
         "nhtsa_action_number", "investigation_type", "status", "days_open", *_KEYS,
         F.col("open_date").alias("event_date"), "close_date",
@@ -132,8 +143,7 @@ CRASH_CONTEXT = (
 def av_crashes_fact(typed: DataFrame) -> DataFrame:
     """Crash reports; no component key, as these are system events and not part failures."""
     have = set(typed.columns)
-    padding = {c: F.lit(None).cast(t) for c, t in (("model_norm", "string"), ("model_year", "int")) if c not in have}
-    src = typed.withColumns(padding) if padding else typed
+    src = with_vehicle(typed)
     source = [F.col("_sgo_source").alias("sgo_source")] if "_sgo_source" in have else []
     return src.withColumns({"vehicle_key": vehicle_key(), "oem_group_id": oem_group_id()}).select(
         "report_id", "vehicle_key", "oem_group_id", F.col("incident_date_d").alias("event_date"), "sae_level",

@@ -267,11 +267,12 @@ def row_counts(t: Tables):
 
 @query(
     "keyless_rows_merge",
-    f"""SELECT compname, odate FROM (WITH {feeds.SQL_RAW_RECALLS} SELECT compname, min(odate) AS odate FROM raw_recalls GROUP BY compname)""",
+    f"""SELECT compname, odate FROM (WITH {feeds.SQL_RAW_RECALLS} SELECT compname, odate FROM (SELECT compname, odate,
+          row_number() OVER (PARTITION BY compname ORDER BY odate NULLS FIRST) AS n FROM raw_recalls) WHERE n = 1)""",
 )
 def keyless_rows_merge(t: Tables):
     """NULL is one key among others: merged twice, its row enters once."""
-    rows = feeds.raw_recalls(t).select("compname", "odate").where("odate IS NOT NULL")
+    rows = feeds.raw_recalls(t).select("compname", "odate")
     first = merge.one_per_key(rows, ["compname"], ["odate"])
     return merge.insert_only(first, rows, ["compname"], ["odate"])
 

@@ -7,12 +7,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _CHECKS: dict[str, str] = {}
-_MODULES = ("ingestion", "typing", "reporting", "texts", "search", "traces", "answers", "sessions")
+_MODULES = ("ingestion", "typing", "reporting", "texts", "search", "traces", "answers", "sessions", "lifecycle")
 
 
 class Tables:
@@ -28,10 +26,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self._made(name, lambda: self.spark.read.parquet(self.path(name)))
 
-    def wide(self, name: str) -> DataFrame:
-        """The table on all cores, for queries that do much work per row."""
-        return self._made(f"wide {name}", lambda: spread(getattr(self, name)))
-
     def _made(self, label: str, make: Callable[[], DataFrame]) -> DataFrame:
         if label not in self._frames:
             self._frames[label] = make()

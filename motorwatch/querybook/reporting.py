@@ -129,10 +129,24 @@ def fact_keys(t: Tables):
     )
 
 
-@query("xxhash_keys")
+@query(
+    "xxhash_keys",
+    f"""{_R}, v AS (SELECT DISTINCT coalesce(make_norm, '') AS a, coalesce(model_norm, '') AS b, coalesce(model_year::VARCHAR, '') AS c FROM recalls),
+          k AS (SELECT DISTINCT coalesce(component_group, '') AS a, coalesce(component_leaf, '') AS b FROM recalls),
+          g AS (SELECT DISTINCT coalesce(oem_group, 'UNKNOWN') AS a FROM recalls)
+        SELECT 'vehicle' AS dimension, count(*) AS n_rows, count(*) AS n_keys, 0::BIGINT AS n_null FROM v
+        UNION ALL SELECT 'component', count(*), count(*), 0 FROM k UNION ALL SELECT 'group', count(*), count(*), 0 FROM g""",
+)
 def xxhash_keys(t: Tables):
-    """The key values themselves, which no other engine here computes."""
-    return Star(t).vehicles("recalls")
+    """Every dimension has one key per row, and no row is without a key."""
+    s = Star(t)
+    dims = (("vehicle", s.vehicles("recalls"), "vehicle_key"), ("component", s.components("recalls"), "component_id"), ("group", s.groups("recalls"), "oem_group_id"))
+    counted = [
+        dim.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.count_if(F.col(key).isNull()).alias("n_null"))
+        .select(F.lit(name).alias("dimension"), "n_rows", "n_keys", "n_null")
+        for name, dim, key in dims
+    ]
+    return counted[0].union(counted[1]).union(counted[2])
 
 
 def _named(fact: DataFrame, vehicles=None, components=None, groups=None) -> DataFrame:
@@ -181,22 +195,23 @@ def fact_bulletins(t: Tables):
 @query(
     "fact_investigations",
     f"""{_I} SELECT nhtsa_action_number, investigation_type, status, days_open, open_date AS event_date, close_date,
-          coalesce(component_group, '') AS component_group, coalesce(component_raw, '') AS component_leaf, oem_group FROM investigations""",
+          coalesce(mfr_norm, '') AS make_norm, coalesce(model_norm, '') AS model_norm, model_year, coalesce(component_group, '') AS component_group, coalesce(component_raw, '') AS component_leaf, oem_group FROM investigations""",
 )
 def fact_investigations(t: Tables):
     s = Star(t)
-    return _named(s.investigations_fact, None, s.components("product_parts"), s.groups("products"))
+    return _named(s.investigations_fact, s.vehicles("products"), s.components("product_parts"), s.groups("products"))
 
 
 @query(
     "fact_av_crashes",
     f"""WITH {feeds.SQL_RAW_CRASHES}, {sqltext.NAMES} SELECT report_id, 'L' || regexp_extract(sae_automation_level, '[0-9]', 0) AS sae_level,
           coalesce(try_strptime(incident_date, '%Y-%m-%d'), try_strptime(incident_date, '%m/%d/%Y'), try_strptime(incident_date, '%b-%Y'))::DATE AS event_date,
-          narrative, city, {sqltext.oem_group('make')} AS oem_group FROM {sqltext.with_names('raw_crashes', 'make')}""",
+          narrative, city, coalesce({sqltext.make_norm('make')}, '') AS make_norm, '' AS model_norm, NULL::INTEGER AS model_year,
+          {sqltext.oem_group('make')} AS oem_group FROM {sqltext.with_names('raw_crashes', 'make')}""",
 )
 def fact_av_crashes(t: Tables):
     crashes = typed.av_crashes(feeds.raw_crashes(t))
-    return _named(star.av_crashes_fact(crashes), None, None, star.dim_oem_group(crashes))
+    return _named(star.av_crashes_fact(crashes), star.dim_vehicle(crashes), None, star.dim_oem_group(crashes))
 
 
 # ------------------------------------------------------------------- figures
@@ -471,13 +486,15 @@ def small_measure_count(t: Tables):
 
 @query(
     "point_lookup",
-    """WITH asked AS (SELECT DISTINCT l_partkey::VARCHAR AS part_id FROM lineitem UNION SELECT DISTINCT 'x' || l_suppkey FROM lineitem)
-       SELECT part_id, p_partkey IS NOT NULL AS found, p_name, p_brand FROM asked LEFT JOIN part ON p_partkey::VARCHAR = part_id""",
+    """WITH asked AS (SELECT DISTINCT l_partkey::VARCHAR AS part_id FROM lineitem UNION SELECT DISTINCT 'x' || l_suppkey FROM lineitem UNION SELECT DISTINCT repeat('9', 65) || l_suppkey FROM lineitem)
+       SELECT part_id, p_partkey IS NOT NULL AS found, p_name, p_brand, CASE WHEN length(part_id) > 64 THEN 'id too long' END AS reason FROM asked LEFT JOIN part ON p_partkey::VARCHAR = part_id""",
 )
 def point_lookup(t: Tables):
     """Every id asked for comes back once, found or not."""
     asked = t.lineitem.select(F.col("l_partkey").cast("string").alias("part_id")).union(
-        t.lineitem.select(F.concat(F.lit("x"), F.col("l_suppkey").cast("string")))
+        t.lineitem.select(F.explode(F.array(F.lit("x"), F.lit("9" * 65))).alias("head"), "l_suppkey").select(
+            F.concat("head", F.col("l_suppkey").cast("string"))
+        )
     )
     parts = t.part.withColumnRenamed("p_partkey", "part_id")
     return lookup(asked, parts, "part_id", ["p_name", "p_brand"])

@@ -53,3 +53,29 @@ def retrieval_gate(t: Tables):
         F.count("*").alias("n_hits"), F.min_by("label", "rank").alias("best_label")
     )
     return gate(top, F.col("best_label") == F.col("query_id"))
+
+
+@query(
+    "retrieval_latency",
+    f"""{_ranked_sql()}, top AS (SELECT query_id, count(*) AS n_hits, bool_or(rn = 1 AND label = query_id) AS hit, sum(vec_id % 97)::DOUBLE AS ms FROM ranked WHERE rn <= 8 GROUP BY query_id)
+        SELECT count(*) AS n_queries, count(*) FILTER (WHERE hit) AS n_pass, avg(n_hits) AS avg_hits, count(*) FILTER (WHERE hit) >= ceil(count(*) * 0.8) AS ok,
+          quantile_cont(ms, 0.5) AS p50_ms, quantile_cont(ms, 0.95) AS p95_ms FROM top""",
+)
+def retrieval_latency(t: Tables):
+    """The gate with latencies, made here from the hits' ids."""
+    top = _search(t).groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), F.min_by("label", "rank").alias("best_label"), F.sum(F.col("vec_id") % 97).cast("double").alias("ms")
+    )
+    return gate(top, F.col("best_label") == F.col("query_id"), latency_ms="ms")
+
+
+@query(
+    "vector_self_search",
+    """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM u a, u b)
+       SELECT query_id, vec_id, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 3""",
+)
+def vector_self_search(t: Tables):
+    """Every embedding asks for its three nearest."""
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return top_k(t.embeddings, asked, k=3, id_col="vec_id").select("query_id", "vec_id", "rank")

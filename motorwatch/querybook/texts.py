@@ -29,18 +29,21 @@ def _chunk_sql(size: int, overlap: int, sep: str) -> str:
 @query("chunk_docs", _chunk_sql(400, 50, "'. '"))
 def chunk_docs(t: Tables):
     """Soft breaks at sentence ends."""
-    return explode_chunks(t.wide("documents").select("doc_id", "text"), "text", ChunkSpec(400, 50, ". "))
+    return explode_chunks(t.documents.select("doc_id", "text"), "text", ChunkSpec(400, 50, ". "))
 
 
 @query("chunk_docs_hard", _chunk_sql(800, 100, "chr(10) || chr(10)"))
 def chunk_docs_hard(t: Tables):
     """The default window; texts without a blank line are cut at a fixed stride."""
-    return explode_chunks(t.wide("documents").select("doc_id", "text"), "text")
+    return explode_chunks(t.documents.select("doc_id", "text"), "text")
 
 
 @query(
     "narrative_chunks",
     f"""WITH RECURSIVE {sqltext.TYPED_COMPLAINTS}, {sqltext.TYPED_BULLETINS.replace(sqltext.NAMES + ', ', '')}, {feeds.SQL_RAW_CRASHES},
+      {sqltext.TYPED_INVESTIGATIONS.replace(sqltext.NAMES + ', ', '')},
+      cases AS (SELECT *, row_number() OVER (PARTITION BY nhtsa_action_number ORDER BY mfr_norm NULLS FIRST, component_group NULLS FIRST,
+          oem_group NULLS FIRST, open_date NULLS FIRST) AS nth FROM investigations),
       crashes AS (SELECT report_id, narrative, {sqltext.make_norm('make')} AS make_norm, {sqltext.oem_group('make')} AS oem_group,
           coalesce(try_strptime(incident_date, '%Y-%m-%d'), try_strptime(incident_date, '%m/%d/%Y'), try_strptime(incident_date, '%b-%Y'))::DATE AS event_date
         FROM {sqltext.with_names('raw_crashes', 'make')}),
@@ -48,6 +51,8 @@ def chunk_docs_hard(t: Tables):
         SELECT 'complaints' AS source_dataset, odi_number AS source_id, NULL AS parent_doc_id, {sqltext.masked('cdescr')} AS t,
           make_norm, model_norm, model_year, component_group, oem_group, incident_date AS event_date FROM complaints
         UNION ALL SELECT 'tsb', tsb_id, tsb_id, summary, make_norm, model_norm, model_year, component_group, oem_group, original_date FROM bulletins
+        UNION ALL SELECT 'investigation', nhtsa_action_number || '__x', nhtsa_action_number || '__x', 'Case file ' || nhtsa_action_number,
+          mfr_norm, NULL, NULL, component_group, oem_group, open_date FROM cases WHERE nth = 1
         UNION ALL SELECT 'sgo', report_id, report_id, narrative, make_norm, NULL, NULL, NULL, oem_group, event_date FROM crashes),
       source AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_dataset, source_id, t ORDER BY
           make_norm NULLS FIRST, model_norm NULLS FIRST, model_year NULLS FIRST, component_group NULLS FIRST, oem_group NULLS FIRST, event_date NULLS FIRST) AS rn
@@ -59,8 +64,15 @@ def chunk_docs_hard(t: Tables):
         'vectors-1' AS embedding_model FROM numbered""",
 )
 def narrative_chunks(t: Tables):
+    """All four sources; the investigations' documents are made here, one per case."""
     day = feeds.as_of()
+    cases = typed.investigations(feeds.raw_investigations(t), day)
+    number = F.col("nhtsa_action_number")
+    files = cases.select(number).distinct().select(
+        F.concat(number, F.lit("__x")).alias("doc_id"), F.concat(F.lit("Case file "), number).alias("full_text")
+    )
     sources = [
+        corpus.from_investigations(cases, files),
         corpus.from_complaints(typed.complaints(feeds.raw_complaints(t), day)),
         corpus.from_bulletins(typed.bulletins(feeds.raw_bulletins(t), day)),
         corpus.from_av_crashes(typed.av_crashes(feeds.raw_crashes(t))),
@@ -77,7 +89,7 @@ def narrative_chunks(t: Tables):
 )
 def doc_meta_left_join(t: Tables):
     """Parsed bulletin texts and the bulletin's metadata, one row per text."""
-    parsed = t.wide("documents").select(F.concat(F.lit("SB-"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("full_text"))
+    parsed = t.documents.select(F.concat(F.lit("SB-"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("text").alias("full_text"))
     rows = corpus.from_bulletins(typed.bulletins(feeds.raw_bulletins(t), feeds.as_of()), parsed)
     return rows.withColumn("body", F.md5("body")).drop("parent_doc_id")
 
@@ -243,7 +255,7 @@ def _html_sql() -> str:
 
 @query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def page_text(t: Tables):
-    return t.wide("pages").select("page_id", html_to_text("html").alias("text"))
+    return t.pages.select("page_id", html_to_text("html").alias("text"))
 
 
 @query(
@@ -253,7 +265,7 @@ def page_text(t: Tables):
           CASE WHEN {_html_sql()} = '' THEN 'document has no text' END AS error_message FROM pages""",
 )
 def parse_tracker(t: Tables):
-    work = t.wide("pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("volume_path"), "html")
+    work = t.pages.select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("volume_path"), "html")
     return worklist.track(work, html_to_text("html"), "html/1").drop("parsed_at")
 
 

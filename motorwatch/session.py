@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,8 @@ def build_session(app_name: str = "motorwatch", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        # Small files are split for all cores as well, as far as their row groups allow.
+        "spark.sql.files.openCostInBytes": "1m",
         **conf,
     }
     for key, value in settings.items():
@@ -37,11 +40,15 @@ def build_session(app_name: str = "motorwatch", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a laptop, a test) is a local folder made and set instead.
+    Only where that is unset and all runs in one process (a laptop, a test) is a local folder made
+    and set instead; on a cluster each executor would write to its own disk, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="motorwatch-")
@@ -76,12 +83,3 @@ def stage(df, label: str):
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(scan):
-    """Give row-wise work on a scan all cores when the input is a few unsplittable files.
-
-    A scan with at least as many partitions as there are slots, as any large table has, comes
-    back unchanged: nothing is shuffled. Only a small input is dealt out over the slots.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .flat_files import OVERFLOW, has_values, overflow_fields
+
 # Archive name fragment -> member name fragment, tried in this order.
 MEMBER_BY_ARCHIVE = (("mfr_comms_received", "MFR_COMMS"), ("tsbs_received", "TSBS_RECEIVED"))
 DEFAULT_MEMBER = "FLAT_TSB"
@@ -25,30 +27,32 @@ def read_zip_lines(
 ) -> DataFrame:
     """``(archive, line_no, line)`` of the first member whose name holds ``member``, any case.
 
-    One task inflates one archive, as a ZIP stream cannot be split, but it streams: lines leave
-    in batches and are never all in memory. They are spread over the cluster right after, so
+    One task inflates one archive, as a ZIP stream cannot be split. Its packed bytes are held (2 GB
+    at most, Spark's limit for a binary file), its lines leave in batches. They are spread over the cluster right after, so
     that parsing does not stay in as many tasks as there are archives. Archives without such a
     member are an error.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                wanted = (member or member_for(row["path"].rsplit("/", 1)[-1])).lower()
-                with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
+                wanted = (member or member_for(path.rsplit("/", 1)[-1])).lower()
+                # The archive's bytes are read where they lie in the batch, one archive after the other.
+                with zipfile.ZipFile(pa.BufferReader(batch.column(1)[i].as_buffer())) as archive:
                     name = next((n for n in archive.namelist() if wanted in n.lower()), None)
                     if name is None:
-                        raise FileNotFoundError(f"no member like {wanted!r} in {row['path']}")
+                        raise FileNotFoundError(f"no member like {wanted!r} in {path}")
                     with archive.open(name) as raw:
                         text = io.TextIOWrapper(raw, encoding="latin-1", newline=None)
                         start, held = 0, []
                         for line in text:
                             held.append(line.rstrip("\n"))
                             if len(held) == lines_per_batch:
-                                yield _batch(row["path"], start, held)
+                                yield _batch(path, start, held)
                                 start, held = start + len(held), []
                         if held:
-                            yield _batch(row["path"], start, held)
+                            yield _batch(path, start, held)
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(unpack, "archive string, line_no bigint, line string").hint("rebalance")
@@ -62,10 +66,13 @@ def _batch(path: str, start: int, lines: list[str]) -> pa.RecordBatch:
     )
 
 
-def parse_lines(lines: DataFrame, columns: tuple[str, ...], sep: str = "\t") -> DataFrame:
-    """Delimited lines as columns; fields keep the order, short rows end in NULL."""
+def parse_lines(lines: DataFrame, columns: tuple[str, ...], sep: str = "\t", overflow: bool = True) -> DataFrame:
+    """Delimited lines as columns; fields keep the order, short rows end in NULL.
+
+    Fields past the known columns come back whole in ``_overflow``, as from :func:`read_flat`.
+    """
     ddl = ", ".join(f"`{c}` string" for c in columns)
-    parsed = lines.where("line <> ''").select(
-        F.from_csv("line", ddl, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r")
-    )
-    return parsed.select("r.*").where(F.coalesce(*[F.col(c) for c in columns]).isNotNull())
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    parsed = lines.where("line <> ''").select(F.from_csv("line", ddl, options).alias("r"), "line")
+    extra = [overflow_fields(F.col("line"), len(columns), sep).alias(OVERFLOW)] if overflow else []
+    return parsed.select("r.*", *extra).where(has_values(columns, overflow))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import document_id
 from ..functions.payloads import listed_documents, page_links, resolve_url
@@ -14,12 +19,28 @@ def load_binaries(spark: SparkSession, wanted: DataFrame, folder: str, *, path:
     """Document bytes joined to a worklist; ``content`` is NULL where the file is missing.
 
     Missing files stay in the result, so that the caller can record them instead of queueing
-    them again for ever.
+    them again for ever. The folder is only listed: paths meet the worklist, and the tasks that hold
+    the matches open these files themselves, so bytes are neither read in vain nor moved.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select(F.regexp_replace("path", r"\A[a-z]+:/*", "/").alias("_path"), "content")
+    files = files.select(F.regexp_replace("path", r"\A[a-z]+:/*", "/").alias("_path"), F.col("path").alias("_file"))
     target = F.regexp_replace(F.col(path), r"\A(?:[a-z]+:)?/+", "/")
-    return wanted.join(files, target == F.col("_path"), "left").drop("_path")
+    found = wanted.join(files, target == F.col("_path"), "left").select(F.struct(*wanted.columns).alias("row"), "_file")
+    schema = T.StructType([found.schema["row"], T.StructField("content", T.BinaryType())])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # one document is held at a time
+                uri, content = batch.column(1)[i].as_py(), None
+                if uri is not None:
+                    system, name = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", uri))
+                    with system.open_input_stream(name) as stream:
+                        content = stream.read()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary())], names=["row", "content"])
+
+    return found.mapInArrow(load, schema).select("row.*", "content")
 
 
 def listing_entries(bodies: DataFrame, body: str, base: Column, *, suffix: str = r"\.pdf") -> DataFrame:
@@ -62,13 +83,17 @@ def document_rows(
 ) -> DataFrame:
     """Rows of the investigation-documents table, ids and file names derived from the URL.
 
-    ``max_docs`` is the per-run budget of the scrape; the documents come in (action, position)
-    order so that repeated runs drain the backlog evenly.
+    ``max_docs`` is the per-run budget of the scrape. It is cut at case borders, in order of the
+    action: a case whose documents do not all fit waits for the next run, as one with some of its
+    documents would count as done. The first case always goes, so that each run gets on.
     """
     rows = entries.where((F.col(action).isNotNull()) & (F.col(action) != ""))
     if max_docs is not None:
-        order = [c for c in (action, "pos", url) if c in rows.columns]
-        rows = rows.orderBy(*order).limit(max_docs)
+        cut = rows.orderBy(action).limit(max_docs).groupBy(action).agg(F.count("*").alias("_taken"))
+        sizes = rows.groupBy(action).agg(F.count("*").alias("_size"))
+        first = cut.agg(F.min(action)).scalar()
+        whole = cut.join(sizes, action).where((F.col("_taken") == F.col("_size")) | (F.col(action) == first))
+        rows = rows.join(whole.select(action), action, "left_semi")
     name = F.concat(
         safe_file_part(F.col(action), "inv"), F.lit("__"), F.substring(F.sha1(F.col(url)), 1, 10), F.lit(".pdf")
     )

@@ -25,6 +25,18 @@ def _unquote(field: Column) -> Column:
     return F.when(field.rlike(r'(?s)\A".*"\z'), F.regexp_replace(inner, '""', '"')).otherwise(field)
 
 
+def overflow_fields(line: Column, known: int, sep: str = "\t") -> Column:
+    """The fields of a raw line past the ``known`` ones, NULL where there are none."""
+    parts = F.split(line, _outside_quotes(sep))
+    return F.when(F.size(parts) > known, F.transform(F.slice(parts, known + 1, F.size(parts)), _unquote))
+
+
+def has_values(columns: tuple[str, ...], overflow: bool) -> Column:
+    """True for rows with any value, in a known column or past them."""
+    filled = F.coalesce(*[F.col(c) for c in columns]).isNotNull()
+    return filled | F.exists(F.coalesce(F.col(OVERFLOW), F.array()), lambda x: x != "") if overflow else filled
+
+
 def read_flat(
     spark: SparkSession,
     paths: str | list[str],
@@ -62,13 +74,8 @@ def read_flat(
             .schema(with_raw)
             .csv(paths)
         )
-        parts = F.split(F.col(_RAW), _outside_quotes(sep))
-        extra = F.transform(F.slice(parts, len(columns) + 1, F.size(parts)), _unquote)
-        frame = frame.withColumn(OVERFLOW, F.when(F.size(parts) > len(columns), extra)).drop(_RAW)
-    filled = F.coalesce(*[F.col(c) for c in columns]).isNotNull()
-    if overflow:
-        filled = filled | F.exists(F.coalesce(F.col(OVERFLOW), F.array()), lambda x: x != "")
-    return frame.where(filled)
+        frame = frame.withColumn(OVERFLOW, overflow_fields(F.col(_RAW), len(columns), sep)).drop(_RAW)
+    return frame.where(has_values(columns, overflow))
 
 
 def read_csv_snapshots(

@@ -40,8 +40,6 @@ ALIASES: dict[str, str] = {
     "ROLLS ROYCE": "Rolls-Royce",
     "RANGE-ROVER": "Range Rover",
 }
-# A taxonomy is hand-kept; beyond this many names it is no longer broadcast.
-BROADCAST_MAX_NAMES = 100_000
 
 
 @dataclass(frozen=True)
@@ -60,10 +58,9 @@ class Taxonomy:
     def frame(self, spark: SparkSession) -> DataFrame:
         names, aliases, groups = zip(*self.lookup_rows(), strict=True)
         text = pa.string()
-        table = spark.createDataFrame(
+        return spark.createDataFrame(
             pa.table({"_name": pa.array(names, text), "_alias_of": pa.array(aliases, text), "_group": pa.array(groups, text)})
         )
-        return F.broadcast(table) if len(names) <= BROADCAST_MAX_NAMES else table
 
 
 DEFAULT_TAXONOMY = Taxonomy()
@@ -80,8 +77,8 @@ def resolve_make(
     """Add the canonical make and its group.
 
     Aliases are replaced, other all-caps names get title case, unknown makes are kept with a
-    NULL group, and empty ones give NULL for both. One hash join against the taxonomy, whose
-    size is known before the plan is made, instead of a Python call per row.
+    NULL group, and empty ones give NULL for both. One join against the taxonomy, whose size Spark
+    knows when it picks the join, instead of a Python call per row.
     """
     name = strip(F.col(raw))
     lookup = taxonomy.frame(df.sparkSession)

@@ -23,29 +23,56 @@ def fold(bag: dict, change: dict | None) -> dict:
     return out
 
 
+def note(events: dict, turn: int, change: dict | None) -> None:
+    """One turn into a session's events, whatever turns came before it.
+
+    ``events`` holds per key the last turn that was not a list, with its value, and the lists of
+    later turns. Only these decide the bag; what an earlier or repeated turn adds is void.
+    """
+    for key, value in (change or {}).items():
+        held = events.setdefault(key, {"reset": None, "value": None, "lists": {}})
+        if held["reset"] is not None and turn <= held["reset"]:
+            continue
+        if isinstance(value, list):
+            held["lists"][str(turn)] = value
+        else:
+            held["reset"], held["value"] = turn, value
+            held["lists"] = {t: v for t, v in held["lists"].items() if int(t) > turn}
+
+
+def in_force(events: dict) -> dict:
+    """The bag that folding the turns in order would give."""
+    bag: dict = {}
+    for key, held in events.items():
+        bag = fold(bag, {key: held["value"]})
+        for turn in sorted(held["lists"], key=int):
+            bag = fold(bag, {key: held["lists"][turn]})
+    return bag
+
+
 def accumulate_stream(turns: DataFrame, session: str = "session_id", turn: str = "turn_idx", filters: str = "filters") -> DataFrame:
     """Streaming ``(session_id, turn_idx, filters)``: the JSON bag in force after each micro-batch.
 
-    State per session is the bag and the last turn applied, so its size follows the filters in
-    force and not the length of the session; a task holds one session's turns of one
-    micro-batch, whose size the source limits. Turns older than the last one applied are
-    ignored. For whole logs use the batch form, ``operators.sessions.merge_filters``.
+    Turns may arrive in any order and more than once; the result is that of the batch form,
+    ``operators.sessions.merge_filters``. State per session is, for each key, the last turn that
+    set or cleared it and the lists added since, so it grows with the filters in force and not with
+    the session; a task holds one session's turns of one micro-batch, whose size the source limits.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bag, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, -1)
-        arrived = [pair for frame in frames for pair in frame[[turn, filters]].itertuples(index=False, name=None)]
-        for idx, change in sorted(arrived, key=lambda pair: pair[0]):
-            if idx > last:
-                bag, last = fold(bag, json.loads(change) if change else None), int(idx)
-        state.update((json.dumps(bag), last))
-        yield pd.DataFrame({session: [key[0]], turn: [last], filters: [json.dumps(bag, sort_keys=True)]})
+        events, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, -1)
+        for frame in frames:
+            for idx, change in frame[[turn, filters]].itertuples(index=False, name=None):
+                note(events, int(idx), json.loads(change) if change else None)
+                last = max(last, int(idx))
+        state.update((json.dumps(events), last))
+        yield pd.DataFrame({session: [key[0]], turn: [last], filters: [json.dumps(in_force(events), sort_keys=True)]})
 
     narrow = turns.select(F.col(session).cast("string"), F.col(turn).cast("bigint"), F.col(filters).cast("string"))
     return narrow.groupBy(session).applyInPandasWithState(
         step,
         outputStructType=f"{session} string, {turn} bigint, {filters} string",
-        stateStructType="bag string, last bigint",
+        stateStructType="events string, last bigint",
         outputMode="update",
         timeoutConf=GroupStateTimeout.NoTimeout,
     )

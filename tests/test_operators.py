@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import statistics
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from motorwatch.functions.text import WHITESPACE
 from motorwatch.operators import chunking, merge, quantiles, sampling, sessions, snapshot, vectors, worklist
-from motorwatch.streaming.filters import fold
+from motorwatch.streaming.filters import fold, in_force, note
 
 # ------------------------------------------------------------------- merging
 
@@ -99,10 +100,25 @@ def test_quantiles_are_exact_for_small_large_and_tied_groups(spark, q):
         assert nearest[g] == _nearest(values, q), g
 
 
+@pytest.mark.parametrize("bins", [4, 4096])
+def test_quantiles_of_hard_values(spark, bins):
+    """Few bins, infinite and huge bounds, NaN: every round counts ranks, so the answer stays exact."""
+    rng = random.Random(3)
+    values = [10.0 ** rng.randint(-300, 300) * rng.choice((-1, 1)) for _ in range(400)] + [math.inf, -math.inf, 0.0, -0.0, 1.7e308, -1.7e308]
+    for extra in ([], [math.nan] * 3):
+        df = spark.createDataFrame([(v,) for v in values + extra], "v double")
+        ordered = sorted(values) + extra
+        for q in (0.0, 0.1, 0.5, 0.9):
+            got = quantiles.exact_quantile(df, "v", q, method="nearest", bins=bins).first()[0]
+            assert got == ordered[round(q * (len(ordered) - 1))], q
+
+
 def test_global_quantile_and_null_group(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(10)], "g string, v double")
     assert quantiles.exact_quantile(df, "v", 0.5).first()[0] == 4.5
     assert quantiles.exact_quantile(df, "v", 0.5, ["g"]).first()["quantile"] == 4.5
+    assert quantiles.exact_quantile(df.limit(0), "v", 0.5).collect()[0][0] is None
+    assert quantiles.exact_quantile(df.limit(0), "v", 0.5, ["g"]).count() == 0
     with pytest.raises(ValueError):
         quantiles.exact_quantile(df, "v", 0.5, method="other")
 
@@ -214,9 +230,10 @@ def _expected(data, query, k, keep=lambda i: True):
     return [i for _, i in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("per_pass", [1024, 4])
-def test_top_k_matches_numpy(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", per_pass)
+@pytest.mark.parametrize(("queries_per_block", "rows_per_block"), [(512, 2048), (4, 30)])
+def test_top_k_matches_numpy(spark, monkeypatch, queries_per_block, rows_per_block):
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", queries_per_block)
+    monkeypatch.setattr(vectors, "ROWS_PER_BLOCK", rows_per_block)
     data, corpus = _vectors(spark)
     asked = [(f"q{i}", [float(x) for x in data[i * 20]]) for i in range(9)]
     queries = spark.createDataFrame(asked, "query_id string, query_vector array<float>")
@@ -297,6 +314,21 @@ def test_fold_rules():
     assert fold(bag, None) == bag
 
 
+@settings(max_examples=80, deadline=None)
+@given(log=st.lists(st.dictionaries(st.sampled_from(["make", "year"]), _CHANGE, max_size=2), max_size=12), order=st.randoms())
+def test_filters_are_the_same_in_any_order_of_arrival(log, order):
+    want: dict = {}
+    for change in log:
+        want = fold(want, change)
+    arrivals = [*enumerate(log), *enumerate(log[:3])]  # some turns come twice
+    order.shuffle(arrivals)
+    events: dict = {}
+    for turn, change in arrivals:
+        note(events, turn, change)
+        events = json.loads(json.dumps(events))
+    assert in_force(events) == want
+
+
 # ------------------------------------------------------------------ backlogs
 
 
@@ -308,12 +340,11 @@ def test_worklists(frame):
     assert {r[0] for r in worklist.unscraped(cases, frame([("4",)], "n string"), "n", "opened", "20200101").collect()} == {"1"}
 
 
-def test_point_lookup_reports_missing_and_rejects_long_ids(frame):
+def test_point_lookup_reports_missing_and_long_ids(frame):
     table = frame([(10, "x"), (10, "a"), (11, "b")], "id int, v string")
-    got = worklist.point_lookup(frame([("10",), ("99",), ("10",)], "id string"), table, "id", ["v"])
-    assert {tuple(r) for r in got.collect()} == {("10", True, "a"), ("99", False, None)}
-    with pytest.raises(Exception, match="id too long"):
-        worklist.point_lookup(frame([("9" * 65,)], "id string"), table, "id", ["v"]).collect()
+    asked = frame([("10",), ("99",), ("10",), ("9" * 65,)], "id string")
+    got = worklist.point_lookup(asked, table, "id", ["v"])
+    assert {tuple(r) for r in got.collect()} == {("10", True, "a", None), ("99", False, None, None), ("9" * 65, False, None, "id too long")}
 
 
 def test_p95_against_statistics(spark):

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorwatch.functions import privacy, scoring
-from motorwatch.operators import merge, sessions, worklist
+from motorwatch.operators import merge, sessions, snapshot, vectors, worklist
 from motorwatch.operators.chunking import chunks
 from motorwatch.plans import reports
 from motorwatch.querybook import registered
-from motorwatch.session import shared_dir, spread
+from motorwatch.session import shared_dir
 from motorwatch.sources.taxonomy import resolve_make
 
 D = "/root/testdata/sf0.001"
@@ -40,7 +40,19 @@ def test_keep_one_and_last_n_limit_groups_before_the_shuffle(read, plan):
 
 def test_anti_joins_are_anti_joins(read, plan):
     assert "LeftAnti" in plan(worklist.pending(read("documents"), read("labels"), "doc_id"))
-    assert "LeftAnti" in plan(merge.new_rows(read("orders"), read("orders"), ["o_orderkey"], ["o_custkey"]))
+    merged = plan(merge.new_rows(read("orders"), read("orders"), ["o_orderkey"], ["o_custkey"]))
+    assert "LeftAnti" in merged and "LeftSemi" in merged  # the target is reduced to the batch's keys
+
+
+def test_snapshots_meet_in_a_hash_aggregation(read, plan):
+    text = plan(snapshot.diff(read("orders"), read("orders"), "o_orderkey", ["o_orderstatus", "o_comment"]))
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_vector_search_collects_no_queries(read, plan):
+    queries = read("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    text = plan(vectors.top_k(read("embeddings"), queries, id_col="vec_id"))
+    assert "Join" in text and "Union" not in text and "LocalTableScan" not in text
 
 
 def test_year_filter_and_columns_reach_the_scan(read, plan):
@@ -85,11 +97,19 @@ def test_partitioned_writes_are_rebalanced_on_the_partition_column(spark, plan):
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(df)
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)

@@ -77,6 +77,52 @@ def test_zip_members_stream_as_lines(spark, tmp_path):
         archives.read_zip_lines(spark, str(tmp_path), "FLAT_CMPL").collect()
 
 
+def test_fields_past_the_known_columns_survive(spark):
+    lines = spark.createDataFrame([('1\ta\tb\textra1\t"ex ""t\t2"',), ("2\ta",), ("\t\t\tonly",), ("\t",), ("",)], "line string")
+    rows = archives.parse_lines(lines, ("x", "y", "z")).collect()
+    assert [tuple(r) for r in rows] == [("1", "a", "b", ["extra1", 'ex "t\t2']), ("2", "a", None, None), (None, None, None, ["only"])]
+    assert archives.parse_lines(lines, ("x", "y", "z"), overflow=False).columns == ["x", "y", "z"]
+
+
+def test_links_of_any_depth_resolve(spark):
+    from motorwatch.functions.payloads import resolve_url
+
+    deep = "/".join(f"d{i}" for i in range(50))
+    cases = {
+        "../" * 40 + "x.pdf": "http://h/" + "/".join(f"d{i}" for i in range(10)) + "/x.pdf",
+        "../" * 90 + "x.pdf": "http://h/x.pdf",
+        "./a/./b/../c.pdf?p=../q#/../r": f"http://h/{deep}/a/c.pdf?p=../q#/../r",
+        "/a/b/..": "http://h/a/",
+        "/a/.hidden/..b/c.pdf": "http://h/a/.hidden/..b/c.pdf",
+    }
+    df = spark.createDataFrame([(f"http://h/{deep}/page", k) for k in cases], "base string, link string")
+    got = {r["link"]: r["u"] for r in df.select("link", resolve_url(F.col("base"), F.col("link")).alias("u")).collect()}
+    assert got == cases
+
+
+def test_a_case_that_does_not_fit_waits(spark):
+    entries = spark.createDataFrame([(c, p, f"http://h/{c}/{p}") for c, n in (("A", 2), ("B", 3), ("C", 1)) for p in range(n)], "nhtsa_action_number string, pos int, url string")
+    entries = entries.withColumn("title", F.lit(None).cast("string"))
+    cases = entries.select("nhtsa_action_number", F.lit("20200101").alias("opened")).distinct()
+    done, runs = spark.createDataFrame([], "nhtsa_action_number string"), []
+    for _ in range(4):
+        todo = worklist.unscraped(cases, done, "nhtsa_action_number", "opened", "20000101")
+        rows = documents.document_rows(entries.join(todo, "nhtsa_action_number", "left_semi"), "/d", max_docs=2)
+        runs.append(sorted(r["document_url"] for r in rows.collect()))
+        done = done.union(spark.createDataFrame([(u.split("/")[3],) for u in runs[-1]], "nhtsa_action_number string"))
+    assert [len(r) for r in runs] == [2, 3, 1, 0]
+
+
+def test_only_wanted_files_are_read(spark, tmp_path, plan):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.bin").write_bytes(name.encode() * 3)
+    wanted = spark.createDataFrame([("1", f"{tmp_path}/a.bin"), ("2", f"file:{tmp_path}/c.bin"), ("3", f"{tmp_path}/none.bin")], "doc_id string, volume_path string")
+    loaded = documents.load_binaries(spark, wanted, str(tmp_path))
+    assert {r["doc_id"]: r["content"] and bytes(r["content"]) for r in loaded.collect()} == {"1": b"aaa", "2": b"ccc", "3": None}
+    scan = next(line for line in plan(loaded).splitlines() if "binaryFile" in line)
+    assert "ReadSchema: struct<path:string>" in scan
+
+
 def test_questions_are_checked(spark, tmp_path):
     good = tmp_path / "t1.tsv"
     good.write_text("# note\n\t \nquestion\treference_sql\texpected_value\nHow many?\tSELECT 1\t1\n  # more\nWhy?\t\tTBD:x\n")
