@@ -207,8 +207,12 @@ def _bin(value: float, borders: tuple) -> int:
 _LENGTHS, _SHARES = (1, 20, 60, 150, 400, 1200), (0.05, 0.3, 0.7)
 
 
-def features(page: Page) -> tuple[list[list[str] | None], list[str | None]]:
-    """Per node: the features of an element's tie to its parent, and the kind of evidence of a run of text."""
+def features(page: Page) -> tuple[list[list[str] | None], list[str | None], list[float]]:
+    """Per node: the features of an element's tie to its parent, the kind of evidence of a run of text, and its weight.
+
+    Runs next to each other are alike, so their evidence is not independent: together the runs of one container
+    (the element around the blocks) weigh as much as half a run of its own.
+    """
     n = len(page.parent)
     chars, linked = [len(t) if t else 0 for t in page.text], list(page.linked)
     for i in range(n - 1, 0, -1):
@@ -228,7 +232,12 @@ def features(page: Page) -> tuple[list[list[str] | None], list[str | None]]:
             ties.append([f"text in {page.tag[page.parent[i]]}"])
             ended = page.text[i][-1] in ".!?:;\"'”»"
             kinds.append(f"{share} {amount} {ended}")
-    return ties, kinds
+    container = [page.parent[page.parent[i]] if k and page.parent[i] else 0 for i, k in enumerate(kinds)]
+    runs: dict[int, int] = {}
+    for c, k in zip(container, kinds, strict=True):
+        if k:
+            runs[c] = runs.get(c, 0) + 1
+    return ties, kinds, [0.5 / runs[c] if k else 0.0 for c, k in zip(container, kinds, strict=True)]
 
 
 class Model:
@@ -243,14 +252,14 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Probability of content per node, by sum-product over the tree."""
         n, parent = len(page.parent), page.parent
-        ties, kinds = features(page)
+        ties, kinds, weigh = features(page)
         stray, weights = self.STRAY, self.weights
         tie = [1.0] * n
         up_no, up_yes = [1.0] * n, [1.0] * n  # evidence below and at a node, given its label
         to_no, to_yes = [1.0] * n, [1.0] * n  # message to the parent, given the parent's label
         for i in range(n - 1, 0, -1):
             p = tie[i] = sigmoid(weights.get("bias", 0.0) + sum(weights.get(f, 0.0) for f in ties[i]))
-            yes = up_yes[i] * (math.exp(self.evidence.get(kinds[i], 0.0)) if kinds[i] else 1.0)
+            yes = up_yes[i] * (math.exp(weigh[i] * self.evidence.get(kinds[i], 0.0)) if kinds[i] else 1.0)
             no, up_yes[i] = up_no[i], yes
             to_yes[i] = p * yes + (1 - p) * no
             to_no[i] = stray * yes + (1 - stray) * no
@@ -282,7 +291,7 @@ def fit(labelled: list[tuple[Page, list[bool]]], epochs: int = 4) -> Model:
         content = list(truth)
         for i in range(len(content) - 1, 0, -1):
             content[page.parent[i]] |= content[i]
-        ties, kinds = features(page)
+        ties, kinds, _ = features(page)
         for i in range(1, len(content)):
             if kinds[i]:
                 seen.setdefault(kinds[i], [0, 0])[content[i]] += 1
@@ -295,8 +304,7 @@ def fit(labelled: list[tuple[Page, list[bool]]], epochs: int = 4) -> Model:
             model.learn(at, np.ones(len(at)), y)
     learnt = model.weights(slice(None))
     totals = [sum(s[k] for s in seen.values()) + len(seen) + 1 for k in (0, 1)]
-    # Evidence is weighed at a half: runs of one element are alike, so their evidence is not independent.
-    evidence = {k: 0.5 * math.log((s[1] + 1) / totals[1] / ((s[0] + 1) / totals[0])) for k, s in seen.items()}
+    evidence = {k: math.log((s[1] + 1) / totals[1] / ((s[0] + 1) / totals[0])) for k, s in seen.items()}
     return Model({f: float(learnt[i]) for f, i in numbers.items()}, evidence)
 
 
@@ -345,6 +353,14 @@ def variants(blocks: list[tuple[str, str]], words: list[str], draw: random.Rando
     return f"<div>{body}</div>" if draw.random() < 0.3 else body
 
 
+def excerpt(blocks: list[tuple[str, str]], draw: random.Random) -> list[tuple[str, str]]:
+    """All blocks, or a few of them, some cut to a sentence: articles are short as well."""
+    if draw.random() < 0.5:
+        at = draw.randrange(len(blocks))
+        blocks = blocks[at : at + draw.randint(1, 4)]
+    return [(tag, text.split(". ")[0] if draw.random() < 0.3 else text) for tag, text in blocks]
+
+
 def marked_page(body: str) -> tuple[Page, list[bool]]:
     """A page whose parts between marks are not content."""
     depth, marked = 0, []
@@ -384,12 +400,12 @@ def train_from(sample: list[str], copies: int = 6) -> Model:
     contents = [[(page.tag[page.parent[i]], t) for i, t in enumerate(page.text) if truth[i]] for page, truth in labelled]
     if not contents:
         invented = "ka lo mi ne ru sa to vu".split()
-        contents = [[("h1", "Ka lo"), *[("p", " ".join(random_draw.choice(invented) for _ in range(40)) + ".") for _ in range(4)]] for _ in range(40)]
+        contents = [[("h1", "Ka lo"), *[("p", " ".join(random_draw.choice(invented) for _ in range(random_draw.randint(4, 60))) + ".") for _ in range(4)]] for _ in range(40)]
     words = sorted({w for blocks in contents for _, t in blocks[:3] for w in t.lower().split()})[:20000] or ["x"]
     for blocks in contents:
         kept = [(tag if tag in ("p", "h1", "h2", "h3", "li", "blockquote") else "p", t) for tag, t in blocks]
         for _ in range(copies):
-            labelled.append(marked_page(variants(kept, words, random_draw)))
+            labelled.append(marked_page(variants(excerpt(kept, random_draw), words, random_draw)))
     return fit(labelled)
 
 

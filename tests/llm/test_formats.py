@@ -167,7 +167,7 @@ def test_odd_pages(model):
 
 def test_marginals_equal_enumeration(model):
     page = html_extraction.Page("<main><p>Some text that is long enough to count, I think.</p><div class=ad><p>Buy</p><p>Now, please, do it.</p></div></main><p>Tail of it.</p>")
-    ties, kinds = html_extraction.features(page)
+    ties, kinds, weigh = html_extraction.features(page)
     n, weight, total = len(page.parent), [0.0] * len(page.parent), 0.0
     for bits in range(1 << (n - 1)):
         y = [1, *((bits >> i) & 1 for i in range(n - 1))]
@@ -176,7 +176,7 @@ def test_marginals_equal_enumeration(model):
             yes = html_extraction.sigmoid(model.weights["bias"] + sum(model.weights.get(f, 0.0) for f in ties[i])) if y[page.parent[i]] else model.STRAY
             p *= yes if y[i] else 1 - yes
             if kinds[i] and y[i]:
-                p *= html_extraction.math.exp(model.evidence.get(kinds[i], 0.0))
+                p *= html_extraction.math.exp(weigh[i] * model.evidence.get(kinds[i], 0.0))
         total += p
         weight = [w + p * v for w, v in zip(weight, y, strict=True)]
     assert model.marginals(page)[1:] == pytest.approx([w / total for w in weight][1:], rel=1e-6)
