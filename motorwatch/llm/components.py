@@ -15,18 +15,22 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     the number of edges never grows. Rounds grow with the logarithm of the longest path. Every round is a written table.
     """
     current = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
-    before = None
-    while True:
+    state = _state(current)
+    while state[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v")))
         current = stage(small.where("u > v").distinct(), "edges")
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, state = state, _state(current)
         if state == before:
             break
-        before = state
-    roots = current.select(F.col("v").alias("node")).distinct()
-    return stage(current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))), "components")
+    ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), "v"))).alias("e")
+    return current.select(ends).select(F.col("e.u").alias("node"), F.col("e.v").alias("component")).distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Tells sets of edges apart: stars, which a round leaves as they are, have the state of the round before."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

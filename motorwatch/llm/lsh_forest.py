@@ -128,7 +128,7 @@ def candidates(found: DataFrame) -> DataFrame:
     """``node``, ``component`` for nodes that share a trie node with another."""
     entries = found.select("node", F.explode("labels").alias("label"))
     leaders = entries.groupBy("label").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    edges = entries.join(leaders.select("label", "leader"), "label").where("node > leader").select("node", "leader").distinct()
+    edges = entries.join(leaders.select("label", "leader"), "label").where("node > leader").select("node", "leader")
     return connected_components(edges, "node", "leader")
 
 
@@ -185,14 +185,13 @@ def verified(left: tuple[list, list], right: tuple[list, list], similarity: floa
             x = root[x]
         return x
 
-    # Row by row; columns already in the row's tree are skipped at once.
     for i in range(len(rows[0])):
         for j in np.flatnonzero(linked[i]).tolist():
             x, y = find(i), find(j + shift)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((names[i], names[j + shift], 0))
-    return out
+    # The forest as stars, which is what the components of most units already are.
+    return out + [(names[x], names[find(x)], 0) for x in range(len(names)) if find(x) != x]
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -217,7 +216,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 def classes_of_texts(docs: DataFrame, text: str, similarity: float, words: int, trees: int, recall: float, block: int) -> DataFrame:
     """``key`` (of a text), ``class`` (a number) and ``n_links`` for each different text."""
     found = nodes(docs, text, trees, prefix_depth(trees, similarity, recall), words)
-    near = candidates(found)
+    near = stage(candidates(found), "near")
     sizes = near.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.expr(f"cast((size + {block - 1}) div {block} as int)")
     placed = near.join(sizes, "component").withColumn("blocks", blocks)
