@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def last_turns(
     turns: DataFrame, n: int, session: str = "session_id", turn: str = "turn_idx", ties: Sequence[str] = ()
@@ -76,6 +78,8 @@ def merge_filters(
     Output: ``session, key, is_list, value, turn, pos``; ``(turn, pos)`` is the order of a
     list's items. An empty list in force is one row without a value.
     """
+    # Events often come out of parsed JSON and are looked at four times: they are worked out once.
+    events = stage(events.select(session, turn, key, scalar, items), "filter-events")
     is_list = F.col(items).isNotNull()
     state = events.groupBy(F.col(session).alias("_s"), F.col(key).alias("_k")).agg(
         F.max(F.when(~is_list, F.col(turn))).alias("_reset"),

@@ -96,15 +96,24 @@ def campaigns_for(fact: DataFrame, dim_vehicle: DataFrame, make: str, year: int)
 
 
 def campaigns_by_make_and_year(fact: DataFrame, dim_vehicle: DataFrame) -> DataFrame:
-    rows = fact.select("vehicle_key", F.year("event_date").alias("yr"), "campaign_number").distinct()
+    """Distinct campaigns per make and year; counting them removes repeats before its own shuffle."""
+    rows = fact.select("vehicle_key", F.year("event_date").alias("yr"), "campaign_number")
     out = labelled(rows, dim_vehicle, "vehicle_key", "make_norm")
     return out.groupBy("make_norm", "yr").agg(F.countDistinct("campaign_number").alias("n_campaigns"))
 
 
 def active_cases(fact: DataFrame, groups: DataFrame, components: DataFrame, k: int = 50) -> DataFrame:
-    """Open investigations, newest first, each (case, component) once."""
+    """Open investigations, newest first, each (case, component) once.
+
+    Each case gives a row at least, so the ``k`` newest cases hold the ``k`` first rows: labels are
+    looked up for these only.
+    """
     columns = ("nhtsa_action_number", "investigation_type", "status", "days_open", "event_date")
-    once = fact.where(is_open()).select(*columns, "oem_group_id", "component_id").distinct()
+    unlabelled = fact.where(is_open()).select(*columns, "oem_group_id", "component_id")
+    newest = unlabelled.select(F.col("event_date").alias("_opened"), F.col("nhtsa_action_number").alias("_case")).distinct()
+    newest = newest.orderBy(F.col("_opened").desc_nulls_last(), "_case").limit(k)
+    same = F.col("event_date").eqNullSafe(F.col("_opened")) & F.col("nhtsa_action_number").eqNullSafe(F.col("_case"))
+    once = unlabelled.join(newest, same, "left_semi").distinct()
     out = labelled(once, groups, "oem_group_id", "oem_group", "left")
     out = labelled(out, components, "component_id", "component_group", "left")
     out = out.select(
