@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 #: Rows handed to Python at a time, and rows and bytes worked on at a time inside a task.
 ARROW_ROWS = "512"
 STEP_ROWS = 128
@@ -67,6 +70,31 @@ def over_texts(df: DataFrame, text: Column, make: Callable[[], Callable[[list],
     return packed.mapInArrow(run, schema)
 
 
+class Stages:
+    """Tables written in the shared folder for the steps of one operator, and removed when later ones need them no more.
+
+    What a later step reads must itself be written by then, so a lost executor never needs a removed table.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Removes these tables, and lets Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+        for label in labels:
+            for path in self.paths.pop(label, []):
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text (NULL as the empty text); equal texts, and in practice only those, share it."""
     data = F.coalesce(text, F.lit("")).cast("binary")

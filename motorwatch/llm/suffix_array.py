@@ -18,7 +18,8 @@ A suffix sort of all bytes would shuffle each of them many times over, so only s
    their whole prefix of ``length`` bytes. Those with an equal neighbour are marked.
 
 Bringing together is a hash aggregation, which combines before the shuffle: a passage in a third of all texts is no hot task as it would be in a
-sorted range. Strings are taken as equal if 128 bits agree (minimizer and name).
+sorted range. Units are taken as equal if 128 bits agree (minimizer and content), suffixes of open ones
+if 96 do (half of the minimizer, and the name).
 
 Defined results: a NULL text is empty; texts shorter than ``length`` keep everything; each of several equal texts of at least
 ``length`` bytes loses all bytes; repeated rows count as texts of their own; extra columns are kept in ``row``; no documents give no rows.
@@ -26,18 +27,16 @@ Defined results: a NULL text is empty; texts shorter than ``length`` keep everyt
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
-from .common import small_batches, text_key, whole_row
+from .common import Stages, small_batches, text_key, whole_row
 
 LENGTH = 400
 KMER = 300
@@ -148,7 +147,7 @@ def blocks_of(rows: Iterator[tuple], length: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def units(docs: DataFrame, text: str, length: int, kmer: int) -> DataFrame:
+def units(docs: DataFrame, text: str, length: int, kmer: int, tables: Stages) -> DataFrame:
     """The units of all texts of at least ``length`` bytes: ``node`` (a row of ``docs``), ``fp``, ``h``, ``a``, ``b``.
 
     Each such row also has one line with its ``key`` and no unit.
@@ -174,7 +173,7 @@ def units(docs: DataFrame, text: str, length: int, kmer: int) -> DataFrame:
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return stage(rows.mapInArrow(run, "node bigint, key string, fp bigint, h bigint, a int, b int"), "units")
+    return tables.keep(rows.mapInArrow(run, "node bigint, key string, fp bigint, h bigint, a int, b int"), "units")
 
 
 def names_of(data: bytes, length: int) -> np.ndarray:
@@ -196,19 +195,13 @@ def names_of(data: bytes, length: int) -> np.ndarray:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def open_units(docs: DataFrame, text: str, tests: DataFrame, length: int) -> DataFrame:
+def open_units(docs: DataFrame, text: str, tests: DataFrame, length: int, tables: Stages) -> DataFrame:
     """``unit``, ``node``, ``a``, ``fp``, ``content`` of the units to be compared."""
     keyed = docs.select(text_key(docs[text]).alias("key"), docs[text].cast("binary").alias("text"))
     texts = keyed.join(tests, "key").dropDuplicates(["node"])
     content = F.expr(f"substring(text, u.a + 1, u.b - u.a + {length - 1})")
     rows = texts.select("node", "text", F.explode("wanted").alias("u")).select("node", "u.a", "u.fp", content.alias("content"))
-    return stage(rows.select(F.monotonically_increasing_id().alias("unit"), "*"), "open")
+    return tables.keep(rows.select(F.monotonically_increasing_id().alias("unit"), "*"), "open")
 
 
 def named(units: DataFrame, length: int, pick, columns: list[str]) -> DataFrame:
@@ -230,19 +223,20 @@ def named(units: DataFrame, length: int, pick, columns: list[str]) -> DataFrame:
                 owner = np.searchsorted(offsets, at, side="right") - 1
                 name = names_of(b"".join(contents), length)[at].view(np.int64) if len(at) else at
                 unit, fp = (batch.column(i).to_numpy()[owner] for i in (0, 1))
-                arrays = [pa.array(c, pa.int64()) for c in (unit, fp, place[at], name)]
+                columns = ((unit, pa.int64()), (fp >> 32, pa.int32()), (place[at], pa.int32()), (name, pa.int64()))
+                arrays = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in columns]
                 yield pa.RecordBatch.from_arrays(arrays, names=["unit", "fp", "at", "name"])
 
-    return units.select("unit", "fp", "content", *columns).mapInArrow(run, "unit bigint, fp bigint, at bigint, name bigint")
+    return units.select("unit", "fp", "content", *columns).mapInArrow(run, "unit bigint, fp int, at int, name bigint")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Per unit, ``places``: the positions whose name occurs again."""
     again = rows.groupBy("fp", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(again, ["fp", "name"]).groupBy("unit").agg(F.collect_list(F.col("at").cast("int")).alias("places"))
+    return rows.join(again, ["fp", "name"]).groupBy("unit").agg(F.collect_list("at").alias("places"))
 
 
-def repeats_in(open: DataFrame, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def repeats_in(open: DataFrame, length: int, period: int, cover: tuple[int, ...], tables: Stages) -> DataFrame:
     """``node``, ``starts``: of every window inside the units that equals another one."""
 
     def sample(place: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
@@ -256,42 +250,46 @@ def repeats_in(open: DataFrame, length: int, period: int, cover: tuple[int, ...]
         np.add.at(ahead, of + repeats + 1, -1)
         return np.cumsum(ahead[:-1]) > 0
 
-    sampled = stage(named(open, length - period + 1, sample, []), "names")
-    near = open.join(repeated(sampled), "unit")
-    marked = repeated(stage(named(near, length, near_sample, ["places"]), "names"))
+    sampled = tables.keep(named(open, length - period + 1, sample, []), "sampled")
+    near = tables.keep(named(open.join(repeated(sampled), "unit"), length, near_sample, ["places"]), "near")
+    tables.drop("sampled")
     starts = F.transform("places", lambda at: F.col("a") + at)
-    return open.select("unit", "node", "a").join(marked, "unit").select("node", starts.alias("starts"))
+    marked = tables.keep(open.select("unit", "node", "a").join(repeated(near), "unit").select("node", starts.alias("starts")), "starts")
+    tables.drop("near")
+    return marked
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, kmer: int = KMER, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """What repeats in a text, by its ``key``: ``whole``, or ``spans`` (first window, window after the last) and single ``starts``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = units(docs, text, length, kmer)
+    tables = Stages(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    found = units(docs, text, length, kmer, tables)
     texts = found.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies"))
-    texts = stage(texts, "texts")
-    release(spark)
+    texts = tables.keep(texts, "texts")
     entries = found.where("key is null").drop("key")
     per_unit = entries.groupBy("fp", "h").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     per_fp = per_unit.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("contents")).where("total > 1")
     kinds = per_unit.join(per_fp, "fp").select("fp", "h", (F.col("n") > 1).alias("again"), (F.col("contents") > 1).alias("open"), "first")
-    seen = entries.join(stage(kinds, "kinds"), ["fp", "h"])
+    kinds = tables.keep(kinds, "kinds")
+    tables.drop()
     test = F.col("open") & (F.col("first") == F.col("node"))
-    seen = stage(seen.select("node", "fp", "h", "a", "b", "again", test.alias("test")).where("again or test"), "seen")
-    release(spark)
+    seen = entries.join(kinds, ["fp", "h"]).select("node", "fp", "h", "a", "b", "again", test.alias("test"))
+    seen = tables.keep(seen.where("again or test"), "seen")
     # Of equal contents one stands for all in the comparison.
     wanted = seen.where("test").dropDuplicates(["node", "fp", "h"]).groupBy("node").agg(F.collect_list(F.struct("a", "b", "fp")).alias("wanted"))
-    keys = found.where("key is not null").select("node", "key")
-    open = open_units(docs, text, wanted.join(keys, "node"), length)
-    release(spark)
-    starts = repeats_in(open, length, period, cover)
+    wanted = tables.keep(wanted.join(found.where("key is not null").select("node", "key"), "node"), "wanted")
+    tables.drop("units", "kinds")
+    open = open_units(docs, text, wanted, length, tables)
+    tables.drop("wanted")
+    starts = repeats_in(open, length, period, cover, tables)
+    tables.drop("open")
     spans = seen.where("again").groupBy("node").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     starts = starts.groupBy("node").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     whole = F.col("copies") > 1
     every = texts.join(spans, "node", "left").join(starts, "node", "left").where(whole | F.col("spans").isNotNull() | F.col("starts").isNotNull())
     every = every.select("key", whole.alias("whole"), *[F.when(~whole, F.col(c)).alias(c) for c in ("spans", "starts")])
-    every = stage(every, "spans")
-    release(spark)
+    every = tables.keep(every, "spans")
+    tables.drop("texts", "seen", "starts")
     return every
 
 
