@@ -7,8 +7,8 @@ linked text, amount of text). Each run of text adds evidence of its own (length,
 messages pass from the leaves to the root and back and give the exact marginal of each run of text; runs at one half and
 above are the main text.
 
-The model is trained from labelled pages: at most ``train_pages`` pages that mark their article with an ``article`` element,
-drawn by a hash of the id, and variants of them, in which the same content and the same
+The model is trained from labelled pages: about ``train_pages`` pages (four times as many at most, none over a million characters)
+that mark their article with an ``article`` element, drawn by a hash of the id, and variants of them, in which the same content and the same
 boilerplate stand in other containers (:data:`CONTENT_FRAMES`, :data:`OTHER_FRAMES`), so that the model knows more layouts
 than the pages happen to use. The model is a few hundred numbers. Pages are extracted where they lie, nothing is shuffled.
 

@@ -10,7 +10,8 @@ id: the same rows at each run. One task trains (the updates are sequential), the
 broadcast of fixed size. Scoring covers every whole text, streams, and shuffles nothing.
 
 Defined results: a NULL or empty text has the bias as its only feature; labels other than 0 and 1, and NULL ones, are
-not learnt; a document listed several times in the labels is learnt that often; without labelled rows all weights are
+not learnt; an id is learnt once with each of its labels, however often either table lists it, and with the first of its texts in
+order; without labelled rows all weights are
 0 and each score is 0.5; repeated documents get equal scores; a NULL id is never learnt and not held out.
 """
 
@@ -135,11 +136,13 @@ def train(
     known = labels.select(F.col(doc_id).alias("k"), F.col(target).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out(F.col("k"))
     )
+    known = stage(known.distinct(), "labels")
     total = known.count()
     draw = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(11)), F.lit(1 << 30))
     sample = known.where(draw < min(1 << 30, (train_rows << 30) // max(total, 1)))
     rows = docs.select(docs[doc_id].alias("k"), docs[text].alias("t")).join(F.broadcast(sample), "k")
-    rows = rows.select(F.xxhash64(F.col("k").cast("string")).alias("draw"), F.coalesce("t", F.lit("")).alias("t"), "y")
+    rows = rows.groupBy("k", "y").agg(F.min(F.coalesce("t", F.lit(""))).alias("t"))  # so repeats stay within the bound
+    rows = rows.select(F.xxhash64(F.col("k").cast("string")).alias("draw"), "t", "y")
     ordered = rows.repartition(1).sortWithinPartitions("draw", "t", "y").select("t", "y")
 
     def run(batches):
