@@ -60,7 +60,10 @@ WORDS = {
     "content": "content article post entry story main body text maincontent articlebody postbody prose page copy",
 }
 _GROUP = {word: group for group, words in WORDS.items() for word in words.split()}
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+#: An attribute's name and value as browsers read them, and all attributes of a tag; a quote that is never closed is part of a name.
+_ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*+"|'[^']*+'|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+))?+""")
+_ATTRIBUTES = re.compile(rf"(?:[ \t\n\r\f/]++|{_ATTRIBUTE.pattern})*+")
+_NAMING = ("class", "id", "role", "itemprop")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 
@@ -175,25 +178,17 @@ class Page:
 
     @staticmethod
     def _tag_end(source: str, at: int) -> int:
-        """Where the tag's ``>`` stands, outside quotes if these are closed nearby."""
-        first = end = source.find(">", at)
-        for _ in range(8):
-            if end < 0:
-                break
-            inside = source[at:end]
-            quote = next((c for c in inside if c in "\"'"), None)
-            if quote is None or inside.count(quote) % 2 == 0:
-                return end
-            end = source.find(">", end + 1)
-        return first
+        """Where the tag's ``>`` stands, outside quoted values; -1 if the tag never ends."""
+        end = _ATTRIBUTES.match(source, at).end()
+        return end if end < len(source) else -1
 
 
 def word_groups(attributes: str) -> tuple:
     if "=" not in attributes:
         return ()
     found = set()
-    for _, value in _ATTRIBUTE.findall(attributes):
-        for token in _TOKEN.findall(value):
+    for name, value in _ATTRIBUTE.findall(attributes):
+        for token in _TOKEN.findall(value) if name.lower().endswith(_NAMING) else ():
             group = _GROUP.get(token.lower())
             if group:
                 found.add(group)

@@ -165,6 +165,29 @@ def test_odd_pages(model):
     assert isinstance(model.extract("<" * 5000 + "'\"" * 5000), str)
 
 
+def texts_of(source):
+    return [t for t in html_extraction.Page(source).text if t]
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        "data-tip='" + "<b>x</b><p>no</p>" * 9 + "'", "alt='x' title=\"a>b\"", 'a="1>2" b=\'3>"4\' c = "5>6"', "srcdoc=\"<p class='ad'>no</p>\"", "href=/a'b/ c=d",
+        'a"b', 'a="never closed', "=\"x",
+    ],
+)
+def test_tags_end_where_their_attributes_end(attributes):
+    page = html_extraction.Page(f"<div {attributes}>One</div><p>Two</p>")
+    assert [t for t in page.text if t] == ["One", "Two"]
+    assert page.tag == ["body", "div", "#text", "p", "#text"] and page.groups[1] == ()
+
+
+def test_long_attributes_take_linear_time():
+    assert texts_of("<p a='" + ">" * 10**6 + "'>One</p>") == ["One"]
+    assert texts_of("<p " + "a='>' " * 10**6 + ">One</p>") == ["One"]
+    assert len(texts_of("<a x='>' " * 10**5)) == 1
+
+
 def test_marginals_equal_enumeration(model):
     page = html_extraction.Page("<main><p>Some text that is long enough to count, I think.</p><div class=ad><p>Buy</p><p>Now, please, do it.</p></div></main><p>Tail of it.</p>")
     ties, kinds, weigh = html_extraction.features(page)
