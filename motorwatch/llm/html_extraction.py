@@ -12,7 +12,8 @@ that mark their article with an ``article`` element, drawn by a hash of the id,
 boilerplate stand in other containers (:data:`CONTENT_FRAMES`, :data:`OTHER_FRAMES`), so that the model knows more layouts
 than the pages happen to use. The model is a few hundred numbers. Pages are extracted where they lie, nothing is shuffled.
 
-Scripts, styles, templates, comments and the head never hold text; elements that a browser closes by itself are closed; a tag that never ends
+Scripts, styles, templates, comments and the head never hold text, nor do text fields, embedded frames and the titles, descriptions and
+metadata of drawings; a template that is never closed hides nothing. Elements that a browser closes by itself are closed; a tag that never ends
 is text. ``br`` counts as white space.
 
 Defined results: NULL and empty pages have an empty text; without labelled pages the variants' frames alone are learnt, on invented words; repeated pages have equal
@@ -39,7 +40,17 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+#: What stands in these is no markup, up to their closing tag or the end of the page, as in a browser. All but ``xmp`` hold no text.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: In drawings and formulas, tags do not break a run of text. Some hold no text of the page; blocks of HTML end the drawing or formula.
+ALIEN = frozenset("svg math".split())
+_ALIEN_HIDDEN = frozenset("style script title desc metadata".split())
+_ALIEN_SPACED = frozenset("text mtr mtd annotation annotation-xml".split())
+_ALIEN_ENDS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strike strong sub sup table tt u ul var address article aside details dialog fieldset figure footer form "
+    "header main nav section summary".split()
+)
 #: An opening tag closes an open element of these kinds.
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -89,7 +100,15 @@ class Page:
         stack: list[tuple[str, int]] = [("body", 0)]
         parts: list[str] = []
         links = linked = at = 0
-        size, lower = len(source), None
+        size, lower, last_template = len(source), None, 0
+        alien: list[str] = []  # open drawings, formulas, and HTML inside drawings
+        mute = ""  # the open element in them that holds no text
+
+        def lowered() -> str:
+            nonlocal lower
+            if lower is None:
+                lower = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
+            return lower
 
         def flush() -> None:
             nonlocal linked
@@ -107,7 +126,7 @@ class Page:
             start = source.find("<", at)
             if start < 0:
                 start = size
-            if start > at:
+            if start > at and not mute:
                 parts.append(source[at:start])
                 linked += (start - at) if links else 0
             if start == size:
@@ -116,13 +135,20 @@ class Page:
                 end = source.find("-->", start + 4)
                 at = size if end < 0 else end + 3
                 continue
+            foreign = bool(alien) and alien[-1] != "foreignobject"
+            if foreign and source.startswith("<![CDATA[", start):
+                end = source.find("]]>", start + 9)
+                end = size if end < 0 else end
+                parts.append("" if mute else html.escape(source[start + 9 : end], quote=False))
+                at = min(end + 3, size)
+                continue
             if source.startswith(("<!", "<?"), start):
                 end = source.find(">", start)
                 at = size if end < 0 else end + 1
                 continue
             name = _NAME.match(source, start + 1)
             if not name:
-                parts.append("<")
+                parts.append("" if mute else "<")
                 at = start + 1
                 continue
             end = self._tag_end(source, name.end())
@@ -132,21 +158,65 @@ class Page:
             tag, inside, at = name[0].lower(), source[name.end() : end], end + 1
             if tag.startswith("/"):
                 tag = tag[1:]
-                if tag == "a":
+                if tag == mute:
+                    mute = ""
+                elif tag in ALIEN or tag == "foreignobject":
+                    if tag in alien:
+                        del alien[len(alien) - 1 - alien[::-1].index(tag) :]
+                        mute = ""
+                elif foreign and tag in _ALIEN_SPACED:
+                    parts.append(" ")
+                elif tag == "a":
                     links = max(links - 1, 0)
                 elif tag == "br" or tag == "p" and all(t != "p" for t, _ in stack[-3:]):
                     parts.append(" ")
                 elif tag not in INLINE:
-                    depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-                    if depth:
+                    wall = "template" if at <= last_template else tag
+                    depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] in (tag, wall)), 0)
+                    if depth and stack[depth][0] == tag:
+                        node = stack[depth][1]
                         close(depth)
                         links = 0
+                        if foreign:
+                            alien.clear()
+                            mute = ""
+                        if tag == "template":
+                            for of_nodes in (self.parent, self.tag, self.groups, self.text, self.linked):
+                                del of_nodes[node:]
+                continue
+            if foreign:
+                if tag in _ALIEN_ENDS:
+                    while alien and alien[-1] != "foreignobject":
+                        alien.pop()
+                    mute = ""
+                elif tag in _ALIEN_HIDDEN:
+                    mute = mute or ("" if inside.endswith("/") else tag)
+                    continue
+                elif tag in _ALIEN_SPACED:
+                    parts.append(" ")
+                    continue
+                elif tag not in ALIEN and tag not in ("foreignobject", "a"):
+                    continue
+            if tag in ALIEN or tag == "foreignobject" and foreign:
+                if not inside.endswith("/"):
+                    alien.append(tag)
                 continue
             if tag in RAW and not inside.endswith("/"):
-                if lower is None:
-                    lower = source.lower() if source.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), source)
-                close_at = lower.find(f"</{tag}", at)
-                end = source.find(">", close_at) if close_at >= 0 else -1
+                stop = lowered().find(f"</{tag}", at)
+                while stop >= 0 and source[stop + 2 + len(tag) : stop + 3 + len(tag)] not in tuple(" \t\n\r\f/>"):
+                    stop = lower.find(f"</{tag}", stop + 1)
+                stop = size if stop < 0 else stop
+                if tag == "xmp":
+                    flush()
+                    links = 0
+                    if stack[-1][0] == "p":
+                        stack.pop()
+                    stack.append((tag, self._node(stack[-1][1], tag, word_groups(inside), None, 0)))
+                    parts.append(html.escape(source[at:stop], quote=False))
+                    close(len(stack) - 1)
+                end = source.find(">", stop) if stop < size else -1
+                if end >= 0:
+                    end = max(end, self._tag_end(source, stop + 2 + len(tag)))
                 at = size if end < 0 else end + 1
                 continue
             if tag in INLINE:
@@ -162,11 +232,13 @@ class Page:
             links = 0
             if tag in VOID:
                 continue
-            if stack[-1][0] == "p":
+            if tag == "template":
+                last_template = lowered().rfind("</template") if not last_template else last_template
+            elif stack[-1][0] == "p" and tag != "noscript":
                 stack.pop()
             shut, stop = _CLOSES.get(tag, ()), _STOPS.get(tag, {"table"})
             for d in range(len(stack) - 1, 0, -1) if shut else ():
-                if stack[d][0] in stop:
+                if stack[d][0] in stop or stack[d][0] == "template":
                     break
                 if stack[d][0] in shut:
                     del stack[d:]

@@ -188,6 +188,28 @@ def test_long_attributes_take_linear_time():
     assert len(texts_of("<a x='>' " * 10**5)) == 1
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "template", "noscript", "svg><title", "svg><style", "math><mi"])
+def test_missing_closing_tags_cut_no_page(model, tag):
+    assert texts_of(f"<p>One</p><{tag}>x<p>Two</p><section>Three</section>") in (["One", "x", "Two", "Three"], ["One", "Two", "Three"])
+    got = model.extract(f"<article><div><{tag}></div>{ARTICLE}</article>")
+    assert got == WANT
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p>x <math><mi>y</mi><mo>&lt;</mo><mn>2</mn></math> z</p>", ["x y<2 z"]),
+        ("<xmp><b>a</b> &amp;</xmp><p>b", ["<b>a</b> &amp;", "b"]), ("<xmp>a<p>b", ["a<p>b"]),
+        ("<p>a <svg><title>no</title><text>l</text><style>no</style></svg> b</p>", ["a l b"]),
+        ("<p>a</p><template><div>no<template>no</template></div>no</template><p>b</p>", ["a", "b"]),
+        ("<div>a<template></div>no</template>b</div>", ["a", "b"]), ("<p>a <noscript>n</noscript> b", ["a", "n", "b"]),
+        ("<p>a</p><script>no<p>no</p>", ["a"]), ("<textarea>no<p>no", []), ("<title>no</titles>no</title>a", ["a"]),
+    ],
+)
+def test_what_holds_text(source, want):
+    assert texts_of(source) == want
+
+
 def test_marginals_equal_enumeration(model):
     page = html_extraction.Page("<main><p>Some text that is long enough to count, I think.</p><div class=ad><p>Buy</p><p>Now, please, do it.</p></div></main><p>Tail of it.</p>")
     ties, kinds, weigh = html_extraction.features(page)
