@@ -1,14 +1,14 @@
-"""Similarity join on word shingles: a MinHash LSH forest finds candidates, exact Jaccard decides.
+"""Similarity join on word shingles: MinHash bands, an LSH forest cut at one depth, find candidates, exact Jaccard decides.
 
 A document is the set of its five-word shingles (words as for decontamination: A-Z lower-cased, runs of letters,
 digits and everything beyond ASCII); fewer than five words are one shingle. Two different texts are *linked* if the Jaccard
 similarity of their sets is 0.8 or more.
 
-1. Equal texts are one node. Each node gets ``TREES`` labels, sequences of MinHash values.
-2. Each tree of the forest is the trie of the nodes' labels in sorted order. Matching begins at the deepest prefix and is shortened until
-   a pair of the wanted similarity shares a prefix in some tree with at least the target recall; nodes under one trie node
-   are candidates of each other.
-3. Trie nodes become stars around their smallest member, the stars connected components, with hash sums that combine before
+1. Equal texts are one node. Each node gets ``TREES`` labels, each one hash of a sequence of MinHash values.
+2. The sequences have the greatest length, up to ``DEEPEST``, at which a pair of the wanted similarity agrees in some tree with
+   at least the target recall. It follows from these numbers before any data is read; there are no tries, and nothing is
+   shortened per match: whatever shares a longer prefix shares this one. Nodes with an equal label are candidates of each other.
+3. Groups of equal labels become stars around their smallest member, the stars connected components, with hash sums that combine before
    every shuffle: candidates are never listed as pairs.
 4. Inside a component every pair is verified exactly, in blocks: a component of up to ``block`` nodes is one unit of work,
    a larger one is cut into blocks and each pair of blocks is a unit, so no task holds more than two blocks. A unit gives the number
@@ -125,7 +125,7 @@ def nodes(docs: DataFrame, text: str, trees: int, depth: int, words: int) -> Dat
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """``node``, ``component`` for nodes that share a trie node with another."""
+    """``node``, ``component`` for nodes that share a label with another."""
     entries = found.select("node", F.explode("labels").alias("label"))
     leaders = entries.groupBy("label").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     edges = entries.join(leaders.select("label", "leader"), "label").where("node > leader").select("node", "leader")
