@@ -1,9 +1,10 @@
-"""Removal of byte strings that occur twice, by distributed difference-cover suffix sorting.
+"""Removal of byte strings that occur twice, by hash grouping of minimizer units and of suffixes at a difference cover.
 
 Every byte that lies in a ``length``-byte string which also starts anywhere else, in the same text or in another, is removed from all
 places. Texts are UTF-8 bytes; matches do not cross texts.
 
-A suffix sort of all bytes would shuffle each of them many times over, so only suffixes that can have an equal neighbour are sorted:
+A suffix sort of all bytes would shuffle each of them many times over. Nothing is sorted, ranked or compared with a neighbour here: only
+suffixes that can have an equal are looked at, and equal ones are found by grouping hashes:
 
 1. *Pruning without loss.* Of the ``kmer``-byte strings that start in the first ``length - kmer + 1`` bytes of a ``length``-byte window the
    one with the least hash is its minimizer. Equal windows have equal minimizers. Neighbouring windows that share one are a *unit* (a
@@ -14,8 +15,8 @@ A suffix sort of all bytes would shuffle each of them many times over, so only s
 3. *Difference cover.* Of the suffixes of open units those at positions in a difference cover modulo ``PERIOD`` are sampled, and brought
    together by the name of their first ``length - PERIOD + 1`` bytes. For any two suffixes some shift below ``PERIOD`` leads both to sampled
    positions, so equal windows have equal sampled suffixes inside. Sampled suffixes without an equal are discarded.
-4. *Merging.* The remaining suffixes, those with a sampled repeat less than ``PERIOD`` bytes ahead, come together by the name of
-   their whole prefix of ``length`` bytes. Those with an equal neighbour are marked.
+4. *In place of merging.* The remaining suffixes, those with a sampled repeat less than ``PERIOD`` bytes ahead, come together by the name of
+   their whole prefix of ``length`` bytes. Those whose name occurs again are marked.
 
 Bringing together is a hash aggregation, which combines before the shuffle: a passage in a third of all texts is no hot task as it would be in a
 sorted range. Units are taken as equal if 128 bits agree (minimizer and content), suffixes of open ones
