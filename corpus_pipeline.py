@@ -7,7 +7,7 @@ of ``documents``; the last adds ``mix_*`` columns and returns a row for each rea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorwatch.llm import decontamination, lsh_forest, mixing, quality_classifier, suffix_array
@@ -32,19 +32,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; ``text`` without the strings that occur twice, ``n_chars`` as it is then.
 
-    A cut may leave part of a character behind, which goes too. A text may end up empty; NULL stays NULL.
+    A cut may leave part of a character behind, which goes too; nothing else does. A text may end up empty; NULL stays NULL.
     """
-    found = suffix_array.remove_repeats(docs)
-    left = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(whole_characters(F.col("kept")))
+    found = suffix_array.remove_repeats(docs, whole_characters=True)
+    left = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept").cast("string"))
     changed = {"text": left, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(left).cast("long"))}
     return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def whole_characters(data: Column) -> Column:
-    """The bytes as text, without what is no character."""
-    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))
-
-
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     return decontamination.clean(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))

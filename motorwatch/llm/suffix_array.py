@@ -297,7 +297,19 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, kmer: int =
 _RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
-def cut(data: bytes, first: np.ndarray, last: np.ndarray, length: int, whole: bool) -> tuple:
+def inner(data: bytes, start: int, stop: int) -> bytes:
+    """What lies between two cuts (or ends of the text), without the parts of characters that a cut has left at its borders."""
+    if start:
+        while start < stop and data[start] & 0xC0 == 0x80:
+            start += 1
+    if stop < len(data):
+        lead = next((i for i in range(stop - 1, max(start, stop - 3) - 1, -1) if data[i] & 0xC0 != 0x80), stop)
+        if lead < stop and data[lead] >= 0xC0 and lead + (2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)) > stop:
+            stop = lead
+    return data[start:stop]
+
+
+def cut(data: bytes, first: np.ndarray, last: np.ndarray, length: int, whole: bool, whole_characters: bool = False) -> tuple:
     """The result's columns for a text whose windows from ``first`` up to ``last`` repeat."""
     if whole:
         return len(data), len(data), int(len(data) > 0), hashlib.sha256(b"").hexdigest(), b""
@@ -307,14 +319,17 @@ def cut(data: bytes, first: np.ndarray, last: np.ndarray, length: int, whole: bo
     start, stop = first[order], np.maximum.accumulate(last[order] + length - 1)
     opens = np.concatenate([[True], start[1:] > stop[:-1]])
     starts, stops = start[opens].tolist(), stop[np.append(np.flatnonzero(opens)[1:] - 1, len(stop) - 1)].tolist()
-    kept = b"".join(data[a:b] for a, b in zip([0, *stops], [*starts, len(data)], strict=True))
+    borders = zip([0, *stops], [*starts, len(data)], strict=True)
+    kept = b"".join(inner(data, a, b) if whole_characters else data[a:b] for a, b in borders)
     return len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept
 
 
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, kmer: int = KMER, period: int = PERIOD, cover: tuple[int, ...] = COVER,
+    whole_characters: bool = False,
 ) -> DataFrame:
-    """``row`` (the document), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes)."""
+    """``row`` (the document), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes;
+    with ``whole_characters`` without the parts of characters that cuts leave, which count as removed)."""
     if not (0 < period < length and 0 < kmer <= length):
         raise ValueError("the period must be below the length and the minimizers' strings no longer than it")
     spans = repeated_spans(docs, text, length, kmer, period, cover)
@@ -334,7 +349,7 @@ def remove_repeats(
                 for i in range(part.num_rows):
                     a, b, starts = (numbers(part.column(c)[i]) for c in (3, 4, 5))
                     first, last = np.concatenate([a, starts]), np.concatenate([b, starts + 1])
-                    found.append(cut(part.column(1)[i].as_py() or b"", first, last, length, bool(part.column(2)[i].as_py())))
+                    found.append(cut(part.column(1)[i].as_py() or b"", first, last, length, bool(part.column(2)[i].as_py()), whole_characters))
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -12,6 +14,8 @@ import oracle
 from motorwatch.llm import decontamination
 from motorwatch.llm.queries import QUERIES
 from motorwatch.llm.sql import CHECKS
+from test_copies import brute_classes
+from test_filters import brute_hits, brute_mix
 
 D = "/root/testdata/sf0.001"
 
@@ -81,3 +85,56 @@ def test_stages_return_the_columns_of_documents(spark, frame, tmp_path):
             assert out.count() <= given.count()
     assert corpus_pipeline.mixture(spark, docs.limit(0), path).count() == 0
     assert decontamination.clean(decontamination.decontaminate(docs, spark.read.parquet(f"{path}/benchmark.parquet"))).count() == 4
+
+
+def brute_passages(texts, length=400):
+    """The texts without each character that has a byte in a string of this length that occurs again."""
+    data = [(t or "").encode() for t in texts]
+    counts = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for text, d in zip(texts, data, strict=True):
+        cut = set()
+        for i in range(len(d) - length + 1):
+            if counts[d[i : i + length]] > 1:
+                cut.update(range(i, i + length))
+        left, at = [], 0
+        for c in text or "":
+            size = len(c.encode())
+            if not cut & set(range(at, at + size)):
+                left.append(c)
+            at += size
+        out.append(None if text is None else "".join(left))
+    return out
+
+
+def brute_pipeline(rows, items):
+    """``rows``: id, text, source, as the classifier has let them through."""
+    classes = brute_classes([t for _, t, _ in rows])
+    rows = [r for i, r in enumerate(rows) if classes[i][0] == i]
+    rows = [(i, t, s) for (i, _, s), t in zip(rows, brute_passages([t for _, t, _ in rows]), strict=True)]
+    hits = [brute_hits(t, items, decontamination.WIDTH) for _, t, _ in rows]
+    rows = [r for r, (n, hit, _) in zip(rows, hits, strict=True) if not (hit and 20 * len(hit) >= n)]
+    texts = {i: t for i, t, _ in rows}
+    mixed = brute_mix(rows, None, 2.0, 1 << 20)
+    return Counter({(r[0], texts[r[0]], len(texts[r[0]]), *r[1:]): n for r, n in mixed.items()})
+
+
+def test_pipeline_equals_brute_force(spark, frame, tmp_path):
+    draw = random.Random(9)
+    text = lambda n: " ".join(draw.choice("aeé�中😀") + str(draw.randint(0, 10**5)) for _ in range(n))
+    passages = [text(70) for _ in range(3)]
+    docs = [(i, text(draw.randint(5, 90)), draw.choice("aaab")) for i in range(40)]
+    for i, (before, after) in enumerate([("é", "é"), ("ũ", "è"), ("中", "丮"), ("𐀭", "😀"), ("�", "�"), ("", "")] * 2, 40):
+        docs.append((i, f"{text(60)}{before}{passages[i % 3]}{after}{text(60)}{passages[(i + 1) % 3][:500]}{after}", "a"))
+    docs += [(60, docs[3][1], "a"), (61, docs[41][1] + " more", "b"), (62, "", "b"), (63, text(30) + " " + " ".join(f"bench{i}" for i in range(20)), "a")]
+    docs += [(70 + i, "!! ".join(text(60).split()) + "!!", "a") for i in range(30)]
+    path = folder(frame, tmp_path, docs)
+    given = spark.read.parquet(f"{path}/documents.parquet")
+    good = sorted((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.good_quality(spark, given, path).collect())
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    got = Counter(
+        (r["doc_id"], r["text"], r["n_chars"], r["source"], r["mix_tokens"], r["mix_pass"], r["mix_block"], r["mix_position"], r["mix_weight_ppb"])
+        for r in corpus_pipeline.run(spark, path).collect()
+    )
+    assert got == brute_pipeline(good, items)
+    assert len(good) > 50 and any("�" in t and i >= 40 for i, t, *_ in got)
