@@ -287,6 +287,17 @@ def test_each_assistant_turn_is_an_example(frame):
         assert chat_format.unescape(whole[s["loss_start"] : s["loss_stop"]]) == turns[s["target_turn"]][3]
 
 
+def test_the_loss_is_that_of_the_examples(frame):
+    df, rows = conversations(frame)
+    formatted = chat_format.format_turns(df)
+    targets = chat_format.examples(formatted)
+    loss = lambda found: {r["conv_id"]: r["loss_chars"] for r in chat_format.digests(formatted, found).collect()}
+    want = {c: sum(len(x or "") for d, _, r, x, _ in rows if (c, "assistant") == (d, r)) for c in {r[0] for r in rows}}
+    assert loss(targets) == want
+    assert loss(targets.limit(0)) == dict.fromkeys(want, 0)
+    assert loss(targets.where("not (conv_id = 40 and target_turn = 1)")) == want | {40: want[40] - 1000}
+
+
 def test_no_control_string_survives_in_a_text(frame):
     df, _ = conversations(frame)
     for r in chat_format.format_turns(df).collect():
