@@ -23,8 +23,14 @@ from .registry import Tables, query
 # ------------------------------------------------------------------- archives
 
 
-def _write_archives(lines: DataFrame, path: str, member: str, parts: int = 4) -> None:
-    """One ZIP archive per task. Spark's text writer stores the bytes; readers pass over the line break it adds."""
+#: Text in an archive, about.
+ARCHIVE_BYTES = 16 << 20
+
+
+def _write_archives(lines: DataFrame, path: str, member: str, least: int = 4) -> None:
+    """One ZIP archive per task, as many as the text's size asks for. Spark's text writer stores the bytes; readers pass over the line break it adds."""
+    size = lines.agg(F.sum(F.octet_length(lines.columns[0]) + 2)).first()[0] or 0
+    parts = max(least, -(-size // ARCHIVE_BYTES))
 
     def pack(batches):
         packed = io.BytesIO()

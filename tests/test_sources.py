@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from motorwatch.functions.text import html_to_text
 from motorwatch.operators import worklist
+from motorwatch.querybook import lifecycle
 from motorwatch.sources import archives, documents, evalsets, feeds
 from motorwatch.sources.flat_files import read_csv_snapshots, read_flat
 from motorwatch.sources.taxonomy import Taxonomy, resolve_make
@@ -64,6 +66,18 @@ def test_headers_that_become_equal_keep_the_last(spark, tmp_path):
     assert (row["report_id"], row["make"]) == ("2", "A")
 
 
+def test_archives_follow_the_size_of_their_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycle, "ARCHIVE_BYTES", 1000)
+    path, lines = str(tmp_path / "zips"), [f"{i}\tpart {i}" for i in range(2000)]
+    lifecycle._write_archives(spark.createDataFrame([(x,) for x in lines], "line string"), path, "FLAT_TSBS.txt")
+    read = archives.read_zip_lines(spark, path, "flat_tsb").collect()
+    assert sorted(r["line"] for r in read) == sorted(lines)
+    held = Counter(r["archive"] for r in read)
+    assert len(held) == -(-sum(len(x) + 2 for x in lines) // 1000) and max(held.values()) <= 2 * 2000 / len(held)
+    lifecycle._write_archives(spark.createDataFrame([], "line string"), path + "0", "FLAT_TSBS.txt")
+    assert archives.read_zip_lines(spark, path + "0", "flat_tsb").count() == 0
+
+
 def test_zip_members_stream_as_lines(spark, tmp_path):
     for name, member in (("TSBS_RECEIVED_2020-2024.zip", "tsbs_received_2020.txt"), ("MFR_COMMS_RECEIVED_2025.zip", "mfr_comms.csv")):
         with zipfile.ZipFile(tmp_path / name, "w") as z:
