@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (
-    chat_format, decontamination, html_extraction, lsh_forest, mixing, quality_classifier, quality_rules, suffix_array,
-    token_counts, warc,
+    chat_format, decontamination, html_extraction, lsh_forest, mixing, quality_classifier, quality_rules, secret_scan,
+    suffix_array, token_counts, warc,
 )
 from .common import table
 
@@ -101,10 +101,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "n_tokens", "pass_no", "block", "position", "weight_ppb")
 
 
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, as places."""
+    scanned = secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    base = secret_scan.listed(F.col("found"), base_only=True)
+    return scanned.select(
+        "row.doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_quality_classifier, op6_suffix_array,
-        op7_chat_format, op8_token_counts, op9_lsh_forest, op10_mixing,
+        op7_chat_format, op8_token_counts, op9_lsh_forest, op10_mixing, op12_secret_scan,
     )
 }

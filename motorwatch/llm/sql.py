@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secret_scan
+
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -86,4 +88,42 @@ SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, pass_no, i.block, C
 FROM i JOIN o USING (key, block) WHERE start + before < target
 """
 
-CHECKS = {"op1_warc": OP1, "op2_decontamination": OP2, "op7_chat_format": OP7, "op9_lsh_forest": OP9, "op10_mixing": OP10}
+_ASSIGN = secret_scan.BASE["assign"][0].replace("'", "''")
+_SUMS = "[" + ", ".join(map(str, secret_scan.log_sums())) + "]"
+_TOPS = [secret_scan.highest_sum(h) for _, h in secret_scan.CLASSES.values()]
+
+
+def _places(kind: str, pattern: str, group: int, least: int, docs: str = "d") -> str:
+    """Leftmost matches with their places: each starts after the pieces and matches before it."""
+    return f"""SELECT r, '{kind}' AS kind, said, start, start + length(said) AS stop FROM (
+    SELECT r, m[i] AS said, c[i] AS counted, CAST(list_sum([length(x) for x in g[:i]]) + coalesce(list_sum([length(x) for x in m[: i - 1]]), 0) AS BIGINT) AS start
+    FROM (SELECT r, m, g, c, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m,
+        string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', {group}) AS c FROM {docs}) x) y) z WHERE length(counted) >= {least}"""
+
+
+_ALLOWED = " OR ".join(f"regexp_matches(said, '{p}')" for p in secret_scan.ALLOWED)
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_places("assign", _ASSIGN, 2, 8)} UNION ALL {_places("access", "AKIA[A-Z0-9]+", 0, 16)} UNION ALL {_places("hex", "[0-9a-f]{32,}", 0, 32)}),
+c AS ({_places("entropy", secret_scan.CANDIDATE, 0, secret_scan.WINDOW)}),
+f AS (SELECT r, said, start, CASE WHEN regexp_matches(said, '{secret_scan.CLASSES["hex"][0]}') THEN {_TOPS[0]}
+    WHEN regexp_matches(said, '{secret_scan.CLASSES["one case"][0]}') THEN {_TOPS[1]} ELSE {_TOPS[2]} END AS top
+    FROM c WHERE NOT ({_ALLOWED})
+    AND len(list_filter(string_split_regex(said, '{secret_scan.SLUG_BREAK}'), lambda p: NOT regexp_matches(p, '{secret_scan.SLUG_PART}'))) > 0),
+w AS (SELECT r, start AS s, start + i - 1 AS a, substr(said, i, {secret_scan.WINDOW}) AS w, top
+    FROM (SELECT r, said, start, top, unnest(range(1, length(said) - {secret_scan.WINDOW} + 2)) AS i FROM f) x),
+h AS (SELECT r, s, a FROM w WHERE list_sum([{_SUMS}[1 + length(w) - length(replace(w, x, ''))] for x in list_distinct(string_split(w, ''))]) <= top),
+o AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY r, s ORDER BY a) <= {secret_scan.WINDOW} THEN 0 ELSE 1 END AS fresh FROM h),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY r, s ORDER BY a) AS island FROM o),
+e AS (SELECT r, min(a) AS start, max(a) + {secret_scan.WINDOW} AS stop FROM n GROUP BY r, s, island),
+k AS (SELECT r, kind, start, stop FROM b UNION ALL SELECT r, 'entropy', start, stop FROM e
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = e.r AND b.start <= e.start AND e.stop <= b.stop)),
+l AS (SELECT *, list_position(['assign', 'access', 'hex', 'entropy'], kind) AS rank, kind || ':' || start || ':' || stop AS said FROM k),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(said, ',' ORDER BY start, rank, stop) AS spans, string_agg(said, ',' ORDER BY start, rank, stop) FILTER (rank < 4) AS base FROM l GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+CHECKS = {"op1_warc": OP1, "op2_decontamination": OP2, "op7_chat_format": OP7, "op9_lsh_forest": OP9, "op10_mixing": OP10, "op12_secret_scan": OP12}
