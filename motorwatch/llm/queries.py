@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from . import (
-    chat_format, decontamination, html_extraction, lsh_forest, mixing, quality_classifier, quality_rules, secret_scan,
-    suffix_array, token_counts, warc,
+    chat_format, decontamination, html_extraction, lsh_forest, mixing, prefix_trie, quality_classifier, quality_rules,
+    secret_scan, suffix_array, token_alignment, token_counts, warc,
 )
 from .common import table
 
@@ -101,6 +101,27 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "n_tokens", "pass_no", "block", "position", "weight_ppb")
 
 
+def rebuilt_conversations(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and all of these: each starts with the first turns of the one whose id is next below and divisible by five."""
+    given = prefix_trie.conversations(placed).withColumn("id", F.col("who.id"))
+    taken = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 9, F.lit(0))
+    known = given.select("who", "n", taken.alias("h"), (F.col("id") - F.col("id") % 5).alias("base"))
+    sizes = given.select(F.col("id").alias("base"), F.col("n").alias("n_base")).where("base is not null")
+    known = stage(known.join(sizes, "base", "left").withColumn("k", F.least("h", F.coalesce("n_base", F.lit(0)))), "known")
+    total = placed.count()
+    own = prefix_trie.join_hot(placed, known.select("who", "n", "h", "k"), "who", "n", total).where("at > h")
+    own = own.select("who", (F.col("at") - F.col("h") + F.col("k")).alias("at"), "said", "size")
+    first = placed.where("at <= 8 and who.id % 5 = 0").select(F.col("who.id").alias("base"), "at", "said", "size")
+    shared = first.join(known.select("base", "who", "h"), "base").where("at <= h").select("who", "at", "said", "size")
+    return stage(own.unionByName(shared), "rebuilt"), known.select("who")
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    talk = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(*rebuilt_conversations(prefix_trie.place_turns(talk)))
+
+
 def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, as places."""
     scanned = secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
@@ -111,10 +132,17 @@ def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of both tokenizers' tokens in every document."""
+    aligned = token_alignment.align_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    return aligned.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_decontamination, op3_quality_rules, op4_html_extraction, op5_quality_classifier, op6_suffix_array,
-        op7_chat_format, op8_token_counts, op9_lsh_forest, op10_mixing, op12_secret_scan,
+        op7_chat_format, op8_token_counts, op9_lsh_forest, op10_mixing, op11_prefix_trie,
+        op12_secret_scan, op13_token_alignment,
     )
 }

@@ -88,6 +88,33 @@ SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, pass_no, i.block, C
 FROM i JOIN o USING (key, block) WHERE start + before < target
 """
 
+_CRC = []
+for _byte in range(256):
+    for _ in range(8):
+        _byte = _byte >> 1 ^ (0xEDB88320 if _byte & 1 else 0)
+    _CRC.append(_byte)
+OP11 = f"""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || '|' || coalesce(role, '') || coalesce(text, '')) AS said, octet_length(encode(coalesce(text, ''))) AS size, turn FROM conversations),
+a AS (SELECT conv_id, said, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS pos FROM t),
+b AS (SELECT [4294967295::BIGINT] || [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(conv_id AS VARCHAR), '')] AS bytes, conv_id FROM (SELECT DISTINCT conv_id FROM a) u),
+h AS (SELECT conv_id, xor(list_reduce(bytes, lambda x, y: xor(x >> 8, ({_CRC})[1 + (xor(x, y) & 255)])), 4294967295::BIGINT) % 9 AS h FROM b),
+n AS (SELECT conv_id, count(*) AS n FROM a GROUP BY conv_id),
+k AS (SELECT h.conv_id, h, least(h, coalesce(n, 0)) AS k FROM h LEFT JOIN n ON n.conv_id = h.conv_id - h.conv_id % 5),
+r AS (SELECT k.conv_id, pos - h + k AS pos, said, size FROM a JOIN k ON k.conv_id = a.conv_id WHERE pos > h
+    UNION ALL SELECT k.conv_id, pos, said, size FROM a JOIN k ON a.conv_id = k.conv_id - k.conv_id % 5 WHERE pos <= h),
+p AS (SELECT conv_id, pos, size, array_to_string(list(said) OVER (PARTITION BY conv_id ORDER BY pos), ',') AS key FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+v AS (SELECT key, min(conv_id) AS conv_id, min(pos) AS depth, count(*) AS n_convs, max(size) AS size, substr(key, 1, greatest(length(key) - 33, 0)) AS parent FROM p GROUP BY key),
+c AS (SELECT parent AS key, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY parent),
+s AS (SELECT p.key, sum((n_convs - 1) * v.size) AS saved_tokens, count(*) FILTER (c.key IS NULL) AS n_leaves
+    FROM p JOIN v ON v.conv_id = p.conv_id AND p.pos <= v.depth LEFT JOIN c ON c.key = v.key GROUP BY p.key),
+l AS (SELECT conv_id, max(pos) AS last FROM p GROUP BY conv_id),
+e AS (SELECT key, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ends FROM p JOIN l ON l.conv_id = p.conv_id AND l.last = p.pos GROUP BY key)
+SELECT v.conv_id, v.depth, CASE WHEN v.depth > 0 THEN o.conv_id END AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN v o ON o.key = v.parent LEFT JOIN c ON c.key = v.key LEFT JOIN e ON e.key = v.key JOIN s ON s.key = v.key
+"""
+
 _ASSIGN = secret_scan.BASE["assign"][0].replace("'", "''")
 _SUMS = "[" + ", ".join(map(str, secret_scan.log_sums())) + "]"
 _TOPS = [secret_scan.highest_sum(h) for _, h in secret_scan.CLASSES.values()]
@@ -126,4 +153,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)
 """
 
-CHECKS = {"op1_warc": OP1, "op2_decontamination": OP2, "op7_chat_format": OP7, "op9_lsh_forest": OP9, "op10_mixing": OP10, "op12_secret_scan": OP12}
+CHECKS = {
+    "op1_warc": OP1, "op2_decontamination": OP2, "op7_chat_format": OP7, "op9_lsh_forest": OP9, "op10_mixing": OP10, "op11_prefix_trie": OP11,
+    "op12_secret_scan": OP12,
+}
