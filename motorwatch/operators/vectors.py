@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,9 @@ _COMPARE = {
 # Queries and corpus rows meet in blocks of about these many vectors; a task holds one of each.
 QUERIES_PER_BLOCK = 512
 ROWS_PER_BLOCK = 2_048
-#: Parts over which the corpus' blocks are dealt where the query blocks are too many to be broadcast.
-SLOTS = 256
+#: Query vectors up to this size are broadcast as they are; beyond it the corpus is dealt over slots of so many rows, and each slot gets a copy.
+BROADCAST_BYTES = 32 << 20
+ROWS_PER_SLOT = 100_000
 SCORE_DIGITS = 9
 
 
@@ -77,13 +79,16 @@ def top_k(
     columns: Sequence[str] = (),
     filters: Mapping[str, object] | None = None,
     allowed: frozenset[str] = FILTER_KEYS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """The ``k`` corpus rows with the highest cosine per query, ties broken by id.
 
     Filters run before any vector is touched. Both sides are packed into blocks, one row each, and
-    every block of the corpus meets every block of queries in a join on a slot that all query blocks
-    are dealt to; Spark broadcasts them while they are small and shuffles by slot otherwise. A task
-    multiplies two blocks at a time and passes on ``k`` rows per query and block at most, fewer once it
+    every block of the corpus meets every block of queries. Queries of a measured size below
+    ``BROADCAST_BYTES`` are broadcast, and the corpus stays where it lies. More queries meet the corpus in a join on
+    a slot: as many slots as the corpus' rows ask for, so tasks stay of one size whatever the corpus' is. (A stored index,
+    :mod:`.vector_index`, reads less.) A task multiplies two blocks at a time and passes on ``k`` rows per query and block at most, fewer once it
     has seen better ones, never all pairs. Nothing passes through the driver but the number of queries,
     and the plan is the same for any number. Scores are rounded to nine digits before ranking, so that
     the order does not hang on the last bits of a sum. Zero vectors have no direction and no score.
@@ -92,14 +97,16 @@ def top_k(
     source = corpus.where(metadata_filter(filters, allowed)).where(F.col(vector).isNotNull())
     asked = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v")).where("_v IS NOT NULL")
     id_type = asked.schema["_q"].dataType
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
 
     stored = stage(asked, "vector-queries")
-    count = -(-stored.count() // QUERIES_PER_BLOCK) or 1
+    asked_rows, asked_bytes = stored.agg(F.count("*"), F.sum(F.size("_v").cast("long") * 8)).first()
+    count = -(-asked_rows // QUERIES_PER_BLOCK) or 1
+    few = (asked_bytes or 0) <= broadcast_bytes
+    n_slots = 1 if few else -(-source.count() // rows_per_slot) or 1
     asked_blocks = _packed(stored.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(count))), ["_q", "_v"])
-    asked_blocks = asked_blocks.select(F.col("_b").alias("_qb"), F.col("_blob").alias("_queries"), F.explode(slots).alias("_slot"))
-    row_blocks = _packed_as_they_lie(source.select(*kept, F.col(vector)))
-    met = row_blocks.join(asked_blocks, "_slot").select("_rows", "_queries", "_qb")
+    asked_blocks = asked_blocks.select(F.col("_b").alias("_qb"), F.col("_blob").alias("_queries"), F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("_slot"))
+    row_blocks = _packed_as_they_lie(source.select(*kept, F.col(vector)), n_slots)
+    met = row_blocks.join(F.broadcast(asked_blocks) if few else asked_blocks, "_slot").select("_rows", "_queries", "_qb")
 
     schema = T.StructType([T.StructField(query_id, id_type), T.StructField("score", T.DoubleType()), *[source.schema[c] for c in kept]])
     best = met.mapInArrow(_searcher(k, id_col, vector, query_id, to_arrow_type(id_type), kept), schema)
@@ -114,24 +121,24 @@ def _blob(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _packed(df: DataFrame, columns: list[str]) -> DataFrame:
+def _packed(df: DataFrame, columns: list[str], kind: str = "bigint") -> DataFrame:
     """One row per block ``_b``, whose size its hash bounds."""
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"_b": pa.array([key[0].as_py()], pa.int64()), "_blob": pa.array([_blob(table.select(columns))], pa.binary())})
+        return pa.table({"_b": pa.array([key[0].as_py()], pa.int64() if kind == "bigint" else pa.string()), "_blob": pa.array([_blob(table.select(columns))], pa.binary())})
 
-    return df.groupBy("_b").applyInArrow(pack, "_b bigint, _blob binary")
+    return df.groupBy("_b").applyInArrow(pack, f"_b {kind}, _blob binary")
 
 
-def _packed_as_they_lie(df: DataFrame) -> DataFrame:
-    """Rows in blocks of a task's neighbours, dealt over the slots in turn."""
+def _packed_as_they_lie(df: DataFrame, slots: int) -> DataFrame:
+    """Rows in blocks of a task's neighbours, dealt over the slots in turn; each task starts at another slot."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BLOCK):
                 blob = _blob(pa.Table.from_batches([batch.slice(at, ROWS_PER_BLOCK)]))
-                yield pa.RecordBatch.from_arrays([pa.array([n % SLOTS], pa.int32()), pa.array([blob], pa.binary())], names=["_slot", "_rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([n % slots], pa.int32()), pa.array([blob], pa.binary())], names=["_slot", "_rows"])
                 n += 1
 
     return df.mapInArrow(pack, "_slot int, _rows binary")
@@ -139,7 +146,7 @@ def _packed_as_they_lie(df: DataFrame) -> DataFrame:
 
 def _searcher(k: int, id_col: str, vector: str, query_id: str, label_type: pa.DataType, kept: list[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, np.ndarray] = {}  # per query block: the k-th best score that this task has passed on
+        floors: dict[object, np.ndarray] = {}  # per query block: the k-th best score that this task has passed on
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, asked = (pa.ipc.open_stream(batch.column(c)[i].as_buffer()).read_all().combine_chunks() for c in (0, 1))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.text import header_name, header_name_col
-from ..operators import catalog, merge, snapshot
+from ..operators import catalog, changelog, merge, snapshot
 from ..session import scratch_path
 from ..sources.flat_files import read_csv_snapshots, read_flat
 from ..streaming.ingest import BATCH, ingest_available, read_landed
@@ -52,6 +52,37 @@ def scan_flat_overflow(t: Tables):
     )
 
 
+_NARRATIVES_SQL = "SELECT doc_id, lang, md5(text) AS body, length(text) - length(replace(text, chr(10), '')) AS n_breaks FROM documents"
+
+
+def _narratives(df, text: str):
+    return df.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5(text).alias("body"), F.regexp_count(text, F.lit("\n")).cast("bigint").alias("n_breaks")
+    )
+
+
+@query("scan_quoted_tsv", _NARRATIVES_SQL)
+def scan_quoted_tsv(t: Tables):
+    """A headerless feed whose narratives hold line breaks, quotes and tabs inside quotes."""
+    path = scratch_path(t.spark, "narratives")
+    rows = t.documents.select("doc_id", "text", "lang")
+    rows.write.csv(path, sep="\t", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _narratives(read_flat(t.spark, path, ("doc_id", "text", "lang"), encoding="UTF-8"), "text")
+
+
+@query("scan_quoted_snapshots", _NARRATIVES_SQL)
+def scan_quoted_snapshots(t: Tables):
+    """Header CSVs of two layouts, one per half of the languages, whose narratives hold line breaks."""
+    paths = [scratch_path(t.spark, name) for name in ("early", "late")]
+    early = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    columns = {"Report ID": "doc_id", "Narrative / (Text)": "text", "Lang": "lang", "Source?": "source"}
+    for path, kept, names in ((paths[0], early, ("Report ID", "Narrative / (Text)", "Lang")), (paths[1], ~early, ("Source?", "Lang", "Report ID", "Narrative / (Text)"))):
+        rows = t.documents.where(kept).select(*[F.col(columns[n]).alias(n) for n in names])
+        rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = read_csv_snapshots(t.spark, paths)
+    return _narratives(rows.withColumnRenamed("report_id", "doc_id"), "narrative_text")
+
+
 @query(
     "scan_multi_file",
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate::DATE AS o_orderdate, o_orderpriority FROM orders",
@@ -245,6 +276,60 @@ def incremental_index(t: Tables):
     return snapshot.apply_changes(before, changes, after, "o_orderkey")
 
 
+_V2_SQL = f"""v2 AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE {_V2_KEPT}
+       UNION ALL SELECT -1 - o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderpriority = '5-LOW')"""
+
+
+def _logged_orders(t: Tables) -> str:
+    """A log of three versions: all orders, a later version by comparison, and a batch of upserts and removals."""
+    log = scratch_path(t.spark, "order-log")
+    before, after = _versions(t)
+    changelog.commit(before.withColumn(changelog.CHANGE, F.lit("insert")), log, ["o_orderkey"])
+    changelog.commit(changelog.changes_between(before, after, "o_orderkey", ["o_orderstatus", "o_custkey"]), log, ["o_orderkey"])
+    third = before.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("Z"))
+    changelog.commit(changelog.upserts(after, third, ["o_orderkey"], after.where("o_orderkey < 0")), log, ["o_orderkey"])
+    return log
+
+
+@query(
+    "change_log_index",
+    f"""WITH {_V2_SQL}
+        SELECT o_orderkey, 'Z' AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, o_orderstatus, o_custkey FROM v2 WHERE o_orderkey % 3 <> 0 AND o_orderkey >= 0""",
+)
+def change_log_index(t: Tables):
+    """A table that follows the log: read as a stream, in two steps, then again, and folded; it equals the newest version."""
+    log, table, checkpoint = _logged_orders(t), scratch_path(t.spark, "order-index"), scratch_path(t.spark, "order-progress")
+    schema = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey").schema
+
+    def follow() -> int:
+        return changelog.follow(t.spark, log, table, checkpoint, schema, ["o_orderkey"], files_per_batch=16)
+
+    follow()
+    if follow():
+        raise AssertionError("changes were read twice")
+    changelog.fold(t.spark, table, ["o_orderkey"])
+    return changelog.read_following(t.spark, table, ["o_orderkey"])
+
+
+@query(
+    "change_log_versions",
+    f"""WITH {_V2_SQL}, d AS (SELECT o.o_orderkey IS NULL AS fresh, v2.o_orderkey IS NULL AS gone
+          FROM orders o FULL JOIN v2 ON o.o_orderkey = v2.o_orderkey
+          WHERE o.o_orderkey IS NULL OR v2.o_orderkey IS NULL OR o.o_orderstatus <> v2.o_orderstatus)
+        SELECT 1 AS version, 'insert' AS change, count(*) AS n_changes FROM orders
+        UNION ALL SELECT 2, CASE WHEN fresh THEN 'insert' WHEN gone THEN 'delete' ELSE 'update' END, count(*) FROM d GROUP BY ALL
+        UNION ALL SELECT 3, CASE WHEN v2.o_orderkey IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM orders o LEFT JOIN v2 ON o.o_orderkey = v2.o_orderkey
+          WHERE o.o_orderkey % 3 = 0 GROUP BY ALL
+        UNION ALL SELECT 3, 'delete', count(*) FROM v2 WHERE o_orderkey < 0""",
+)
+def change_log_versions(t: Tables):
+    """What each version of the log changed."""
+    schema = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey").schema
+    rows = changelog.read_log(t.spark, _logged_orders(t), schema)
+    return rows.groupBy(F.col(changelog.VERSION).alias("version"), F.col(changelog.CHANGE).alias("change")).agg(F.count("*").alias("n_changes"))
+
+
 def _versions(t: Tables):
     columns = ("o_orderkey", "o_orderstatus", "o_custkey")
     status = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("X")).otherwise(F.col("o_orderstatus"))

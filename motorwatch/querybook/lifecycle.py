@@ -67,6 +67,24 @@ def scan_zip_overflow(t: Tables):
     return rows.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", F.array_join("_overflow", "|").alias("extra"))
 
 
+@query(
+    "scan_zip_narratives",
+    r"""WITH d AS (SELECT doc_id, lang, regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') AS t FROM documents)
+        SELECT doc_id, lang, md5(t) AS body, length(t) - length(replace(t, chr(10), '')) AS n_breaks FROM d""",
+)
+def scan_zip_narratives(t: Tables):
+    """Narratives with line breaks inside quotes, in several archives: each comes back as the one field it was."""
+    path = scratch_path(t.spark, "zips")
+    text = F.regexp_replace("text", "[^\\x00-\\xFF]", "?")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    _write_archives(t.documents.select(F.concat_ws("\t", "doc_id", quoted, "lang").alias("line")), path, "FLAT_TSBS.txt")
+    rows = archives.parse_lines(archives.read_zip_lines(t.spark, path, "flat_tsb"), ("doc_id", "text", "lang"), overflow=False)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5("text").alias("body"),
+        F.regexp_count("text", F.lit("\n")).cast("bigint").alias("n_breaks"),
+    )
+
+
 # ------------------------------------------------------------ questions, results
 
 _CLEAN = "regexp_replace(text, '[\t\n\r]+', ' '{g})"
@@ -115,23 +133,28 @@ def result_files(t: Tables):
 
 @query(
     "drain_backlog",
-    """WITH p AS (SELECT page_id::VARCHAR AS doc_id, html, row_number() OVER (ORDER BY page_id::VARCHAR) AS n FROM pages)
-       SELECT doc_id, md5(html) AS body, 'ok' AS parse_status, NULL::VARCHAR AS error_message, length(html)::BIGINT AS pages FROM p WHERE n <= 150
+    """WITH p AS (SELECT page_id::VARCHAR AS doc_id, html FROM pages)
+       SELECT doc_id, md5(html) AS body, 'ok' AS parse_status, NULL::VARCHAR AS error_message, length(html)::BIGINT AS pages FROM p
        UNION ALL SELECT '0-gone', NULL, 'error', 'document is missing', NULL""",
 )
 def drain_backlog(t: Tables):
-    """Two runs over stored pages, a hundred and then fifty-one documents; one file is not there."""
+    """All stored pages, drained in runs of half the backlog, the last of which finds nothing left; one file is not there."""
     folder, schema = scratch_path(t.spark, "files"), _schema(t)
     t.pages.select(F.concat(F.lit("p"), "page_id").alias("doc"), F.base64(F.encode("html", "UTF-8")).alias("value")).write.partitionBy("doc").text(folder)
     found = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     docs = found.select(F.regexp_extract("path", "doc=p([^/]*)", 1).alias("doc_id"), F.col("path").alias("volume_path"))
     docs = docs.union(t.spark.createDataFrame([("0-gone", f"{folder}/gone.txt")], "doc_id string, volume_path string"))
     html = F.decode(F.unbase64(F.decode("content", "UTF-8")), "UTF-8")
-    for budget in (100, 51):
-        worklist.drain(
+    budget = -(-docs.count() // 2)
+
+    def run() -> int:
+        return worklist.drain(
             t.spark, docs, lambda wanted: documents.load_binaries(t.spark, wanted, folder), lambda df: html, f"{schema}.parsed", f"{schema}.tracker",
             doc_id="doc_id", path="volume_path", version="copy/1", budget=budget, details={"pages": F.length("full_text").cast("bigint")},
-        )
+        )["queued"]
+
+    while run():
+        pass
     tracker = t.spark.table(f"{schema}.tracker").select("doc_id", "parse_status", "error_message")
     parsed = t.spark.table(f"{schema}.parsed").select("doc_id", F.md5("full_text").alias("body"), "pages")
     return tracker.join(parsed, "doc_id", "left").select("doc_id", "body", "parse_status", "error_message", "pages")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.vector_index import build_index, search_index
 from ..operators.vectors import top_k
 from ..plans.evaluation import retrieval_gate as gate
+from ..session import scratch_path
 from .registry import Tables, query
 
 # One question per label: the vector of its lowest id. The number of labels does not grow.
@@ -69,13 +71,32 @@ def retrieval_latency(t: Tables):
     return gate(top, F.col("best_label") == F.col("query_id"), latency_ms="ms")
 
 
-@query(
-    "vector_self_search",
-    """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM u a, u b)
-       SELECT query_id, vec_id, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 3""",
-)
+_NEAREST_SQL = """WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+       s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM u a, u b WHERE a.vec_id % 20 = 0 {where}),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+       SELECT query_id, vec_id, rn::INTEGER AS rank{more} FROM r WHERE rn <= {k}"""
+
+
+def _askers(t: Tables):
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query("vector_self_search", _NEAREST_SQL.format(where="", more="", k=3))
 def vector_self_search(t: Tables):
-    """Every embedding asks for its three nearest."""
-    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return top_k(t.embeddings, asked, k=3, id_col="vec_id").select("query_id", "vec_id", "rank")
+    """Every twentieth embedding asks for its three nearest among all."""
+    return top_k(t.embeddings, _askers(t), k=3, id_col="vec_id").select("query_id", "vec_id", "rank")
+
+
+@query("vector_index_search", _NEAREST_SQL.format(where="", more=", label", k=8))
+def vector_index_search(t: Tables):
+    """The same question to a stored index with lists: exact, and lists that cannot hold a hit are skipped."""
+    index = build_index(t.embeddings, scratch_path(t.spark, "vector-index"), id_col="vec_id")
+    return search_index(t.spark, index, _askers(t), k=8, columns=["label"]).select("query_id", "vec_id", "rank", "label")
+
+
+@query("vector_index_filtered", _NEAREST_SQL.format(where="AND b.label >= 3", more=", label", k=5))
+def vector_index_filtered(t: Tables):
+    """The index with a filter on its rows: lists hold fewer rows then than they count, and more of them are searched."""
+    index = build_index(t.embeddings, scratch_path(t.spark, "vector-index"), id_col="vec_id")
+    hits = search_index(t.spark, index, _askers(t), k=5, columns=["label"], filters={"label >=": 3}, allowed=frozenset({"label"}))
+    return hits.select("query_id", "vec_id", "rank", "label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import header_name
+from .records import ASCII_BASED, decoded, has_breaks, read_records, split_states
 
 _RAW = "_raw_line"
 OVERFLOW = "_overflow"
@@ -37,6 +40,18 @@ def has_values(columns: tuple[str, ...], overflow: bool) -> Column:
     return filled | F.exists(F.coalesce(F.col(OVERFLOW), F.array()), lambda x: x != "") if overflow else filled
 
 
+def parse_records(rows: DataFrame, record: str, columns: tuple[str, ...], sep: str = "\t", overflow: bool = True) -> DataFrame:
+    """Delimited records, one text each, as columns: short ones end in NULL, those without any value are dropped.
+
+    With ``overflow`` fields past the known columns come back whole in ``_overflow``.
+    """
+    ddl = ", ".join(f"`{c}` string" for c in columns)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "lineSep": "\n"}
+    parsed = rows.where(F.col(record) != "").select(F.from_csv(record, ddl, options).alias("r"), record)
+    extra = [overflow_fields(F.col(record), len(columns), sep).alias(OVERFLOW)] if overflow else []
+    return parsed.select("r.*", *extra).where(has_values(columns, overflow))
+
+
 def read_flat(
     spark: SparkSession,
     paths: str | list[str],
@@ -45,23 +60,30 @@ def read_flat(
     sep: str = "\t",
     encoding: str = "ISO-8859-1",
     overflow: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Headerless delimited text with known column order, every column a string.
 
     Short rows are padded with NULL, rows without any value are dropped, and empty fields read
     as NULL. With ``overflow`` the fields past the last known column come back whole in
     ``_overflow``; they are re-split from the raw line, and only for the lines that have more
-    fields than columns. Files are splittable unless ``multi_line`` allows line breaks inside
-    quotes, which makes each file one task.
+    fields than columns. Quoted fields may hold line breaks: the files are looked through once, and where
+    a record goes over a line's end, lines are joined (:mod:`.records`); files stay splittable. Without
+    ``multi_line`` the caller knows that there are none. Other encodings than those of
+    ``ASCII_BASED`` make each file one task.
     """
+    whole_files = multi_line and encoding.upper() not in ASCII_BASED
+    if multi_line and not whole_files:
+        states = split_states(spark, paths, sep)
+        if has_breaks(states):
+            return parse_records(read_records(spark, paths, sep, encoding, states), "record", columns, sep, overflow)
     fields = [T.StructField(name, T.StringType(), True) for name in columns]
     reader = (
         spark.read.option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", encoding)
-        .option("multiLine", multi_line)
+        .option("multiLine", whole_files)
         .option("mode", "PERMISSIVE")
     )
     if not overflow:
@@ -85,21 +107,36 @@ def read_csv_snapshots(
 
     Header names are normalised (of two that become equal the last one counts), empty values
     are NULL, each row carries its file's name, and the columns are the union over all snapshots
-    in order of first appearance. Only the header lines are looked at up front.
+    in the order of ``paths``. One job finds the headers, and whether quoted fields hold line
+    breaks; files with equal headers are read together, so the plan grows with the number of
+    different headers only.
     """
-
-    def one(path: str) -> DataFrame:
-        raw = (
-            spark.read.option("header", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("encoding", encoding)
-            .csv(path)
-        )
-        by_name = {header_name(c): c for c in raw.columns}
-        return raw.select(
-            *[F.nullif(F.col(f"`{old}`"), F.lit("")).alias(new) for new, old in by_name.items()],
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(tag),
-        )
-
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in paths])
+    states = split_states(spark, paths, ",", heads=True)
+    heads = states.where("head is not null").select("path", decoded(F.col("head"), encoding).alias("head"))
+    files: dict[tuple[str, ...], list[str]] = {}
+    listed = sorted(((r["path"], r["head"]) for r in heads.toLocalIterator()), key=lambda x: _place(x[0], paths))
+    for path, head in listed:
+        files.setdefault(tuple(next(csv.reader(io.StringIO(head)), [])), []).append(path)
+    broken = has_breaks(states)
+    rows = read_records(spark, paths, ",", encoding, states).where("not first") if broken else None
+
+    def one(header: tuple[str, ...], of: list[str]) -> DataFrame:
+        ddl = ", ".join(f"`c{i}` string" for i in range(len(header)))
+        options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        if broken:
+            mine = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in of], "path string")), "path", "left_semi").where("record <> ''")
+            raw = mine.select(F.from_csv("record", ddl, {**options, "multiLine": "true", "lineSep": "\n"}).alias("r"), "path").select("r.*", "path")
+        else:
+            raw = spark.read.schema(ddl).options(header=True, encoding=encoding, **options).csv(of).withColumn("path", F.col("_metadata.file_path"))
+        by_name = {header_name(c): f"c{i}" for i, c in enumerate(header)}
+        values = [F.nullif(F.col(old), F.lit("")).alias(new) for new, old in by_name.items()]
+        return raw.select(*values, F.element_at(F.split("path", "/"), -1).alias(tag))
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(h, of) for h, of in files.items()])
+
+
+def _place(path: str, paths: list[str]) -> tuple[int, str]:
+    """Where a file belongs in the order in which files and folders were asked for."""
+    plain = [p.rstrip("/").split(":", 1)[-1].lstrip("/") for p in paths]
+    mine = path.split(":", 1)[-1].lstrip("/")
+    return next((i for i, p in enumerate(plain) if mine == p or mine.startswith(p + "/")), len(paths)), path
