@@ -172,14 +172,19 @@ def _brute(text, spec):
             out.append(text[at:end].strip())
         if end >= len(text):
             return out
-        at = max(end - spec.overlap, at + 1)
+        at = max(end - spec.overlap, at + spec.min_advance)
 
 
 _ALPHABET = st.text(alphabet="ab .\n\t 😀é" + "\x1c", max_size=220)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(texts=st.lists(_ALPHABET, min_size=12, max_size=30), shape=st.sampled_from([(20, 5, ". "), (20, 19, "\n"), (7, 0, ""), (30, 10, "ab"), (20, 5, "\n\n")]))
+_SHAPES = [
+    (20, 5, ". "), (20, 19, "\n"), (7, 0, ""), (30, 10, "ab"), (20, 5, "\n\n"), (20, 18, "\n", 7), (12, 3, ". . "), (9, 8, "ab "), (10, 0, " "), (6, 2, "a", 4), (15, 14, ""),
+]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(_ALPHABET, min_size=12, max_size=30), shape=st.sampled_from(_SHAPES))
 def test_chunks_match_brute_force(spark, texts, shape):
     spec = chunking.ChunkSpec(*shape)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
@@ -201,14 +206,22 @@ def test_chunk_examples(spark):
         chunking.ChunkSpec(100, 100)
 
 
-def test_larger_advance_stops_the_crawl():
+def test_larger_advance_stops_the_crawl(spark):
     text = "a\n" + "b" * 50 + "\n" + "c" * 3000
-    crawl = chunking.windows(text, chunking.ChunkSpec(60, 55, "\n"))
-    steady = chunking.windows(text, chunking.ChunkSpec(60, 55, "\n", min_advance=20))
-    assert len(steady) < len(crawl)
+    df = spark.createDataFrame([(text,)], "x string")
+    crawl, steady = (df.select(F.size(chunking.chunks("x", chunking.ChunkSpec(60, 55, "\n", min_advance=n)))).first()[0] for n in (1, 20))
+    assert steady < crawl
     assert set(WHITESPACE) == {c for c in map(chr, range(0x3001)) if c.isspace()}
 
 
+def test_very_long_texts_are_cut_in_the_jvm(spark):
+    texts = ["word. " * 200_000, "😀 é" * 100_000, "x" * 1_000_000, "\n\n" * 100_000, "a\n\n" + "b" * 900 + "\n\n" + "c" * 100_000]
+    spec = chunking.ChunkSpec()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = {r["i"]: r["c"] for r in df.select("i", chunking.chunks("x", spec).alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == [_brute(t, spec) for t in texts]
+
+
 # ------------------------------------------------------------------- vectors
 
 

@@ -87,10 +87,9 @@ def test_text_expressions_stay_in_generated_code(read, plan):
     assert "Python" not in text and "*(1) Project" in text
 
 
-def test_only_long_texts_with_a_separator_go_to_python(read, plan):
+def test_chunks_never_leave_the_jvm(read, plan):
     text = plan(read("documents").select(chunks("text")))
-    assert text.count("ArrowEvalPython") == 1
-    assert "CASE WHEN" in text[text.index("ArrowEvalPython") :]
+    assert "Python" not in text and "Arrow" not in text
 
 
 def test_partition_filter_prunes(spark, plan):
