@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.text import header_name, header_name_col
-from ..operators import catalog, changelog, merge, snapshot
+from ..operators import bucketed, catalog, changelog, merge, snapshot
 from ..session import scratch_path
 from ..sources.flat_files import read_csv_snapshots, read_flat
-from ..streaming.ingest import BATCH, ingest_available, read_landed
+from ..streaming.ingest import BATCH, ingest_available, ingest_new_keys, read_landed
 from . import feeds
 from .registry import Tables, query
 
@@ -165,6 +166,38 @@ def insert_only_merge(t: Tables):
     return merge.insert_only(shipped.agg(F.min("l_suppkey").alias("l_suppkey")), lines, key, ["l_suppkey"])
 
 
+@query(
+    "bucketed_merge",
+    """WITH target AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_shipdate < DATE '1999-01-01' GROUP BY ALL),
+       fresh AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)
+       SELECT * FROM target UNION ALL
+       SELECT f.* FROM fresh f ANTI JOIN target t ON f.l_orderkey = t.l_orderkey AND f.l_linenumber = t.l_linenumber""",
+)
+def bucketed_merge(t: Tables):
+    """The same merge into a target bucketed by its key, run twice: the target is not moved, the second run adds nothing."""
+    lines, key = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey"), ["l_orderkey", "l_linenumber"]
+    schema = f"bucketed_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"CREATE DATABASE {schema}")
+    table = f"{schema}.shipped"
+    bucketed.create_bucketed(t.spark, table, lines.schema, key, 16)
+    bucketed.merge_into_buckets(t.spark, table, t.lineitem.where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")).select(*lines.columns), ["l_suppkey"])
+    for _ in range(2):
+        bucketed.merge_into_buckets(t.spark, table, lines, ["l_suppkey"])
+    return t.spark.table(table)
+
+
+@query("stateful_ingest", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def stateful_ingest(t: Tables):
+    """Files streamed in by keys that the stream remembers, then the same files again under another name: nothing is added, the target is never read."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    source, target, progress = (scratch_path(t.spark, n) for n in ("arriving", "landed-keys", "key-progress"))
+    schema = t.orders.select(*columns).schema
+    for _ in range(2):
+        t.orders.select(*columns).write.mode("append").parquet(source)
+        ingest_new_keys(t.spark, t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source), ["o_orderkey"], target, progress)
+    return read_landed(t.spark, target, schema).drop(BATCH)
+
+
 @query(
     "dedupe_first",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
