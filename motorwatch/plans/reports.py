@@ -6,7 +6,7 @@ carries groups instead of rows, and a key holding most of the rows is already on
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +133,21 @@ def profile(df: DataFrame, metrics: Mapping[str, Column], by: tuple[str | Column
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in metrics.items()])
 
 
+def profile_levels(df: DataFrame, metrics: Mapping[str, Column], levels: Sequence[Sequence[str]]) -> DataFrame:
+    """The aggregates at several levels in one pass: the total is ``()``, a group ``("a",)``, a pair ``("a", "b")``.
+
+    ``level`` tells the levels apart by their columns' names, comma-joined, as a column that is not grouped by is NULL like a group of
+    NULLs. Rows are read and shuffled once; each is combined per level before the shuffle.
+    """
+    by = list(dict.fromkeys(c for level in levels for c in level))
+    grouped = [F.when(F.grouping(c) == 0, F.lit(c)) for c in by]
+    name = F.concat_ws(",", *grouped).alias("level") if by else F.lit("").alias("level")
+    if not by:
+        return df.agg(name, *[c.alias(n) for n, c in metrics.items()])
+    sets = df.groupingSets([[F.col(c) for c in level] for level in levels], *by)
+    return sets.agg(name, *[c.alias(n) for n, c in metrics.items()])
+
+
 def keyword_test(text: str, all_of: tuple[str, ...] = (), any_of: tuple[str, ...] = ()) -> Column:
     """All of some words and any of others occur in a text, whatever the case."""
     low = F.lower(F.col(text))

@@ -409,6 +409,20 @@ def group_profile(t: Tables):
     return reports.profile(Star(t).investigations, metrics, ("investigation_type", "status"))
 
 
+@query(
+    "profile_levels",
+    f"""{_I} SELECT CASE GROUPING_ID(investigation_type, status) WHEN 3 THEN '' WHEN 1 THEN 'investigation_type' WHEN 2 THEN 'status' ELSE 'investigation_type,status' END AS level,
+          investigation_type, status, count(*) AS cases, count(DISTINCT oem_group) AS makers, round(avg(days_open), 6) AS avg_days_open, max(days_open) AS max_days_open
+        FROM investigations GROUP BY GROUPING SETS ((), (investigation_type), (status), (investigation_type, status))""",
+)
+def profile_levels(t: Tables):
+    """Total, each group and each pair, in one pass."""
+    metrics = {
+        "cases": F.count("*"), "makers": F.countDistinct("oem_group"), "avg_days_open": F.round(F.avg("days_open"), 6), "max_days_open": F.max("days_open")
+    }
+    return reports.profile_levels(Star(t).investigations, metrics, [(), ("investigation_type",), ("status",), ("investigation_type", "status")])
+
+
 @query(
     "documents_by_type",
     f"""WITH {feeds.SQL_RAW_INVESTIGATIONS} SELECT substring(nhtsa_action_number, 1, 2) AS investigation_type,

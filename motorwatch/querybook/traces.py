@@ -8,6 +8,8 @@ from ..functions.calls import textual_call
 from ..functions.traces import any_response_text, flag, judged, response_text
 from ..operators.quantiles import exact_quantile
 from ..plans import monitoring
+from ..session import scratch_path
+from ..streaming import scoring
 from .registry import Tables, query
 
 # Span names by position; four tools, two spellings of a model call, other spans.
@@ -172,19 +174,31 @@ def assessment_flags(t: Tables):
     )
 
 
-@query(
-    "unscored_traces",
-    f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id,
+_UNSCORED_SQL = f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id,
           event_type || ' ' || user_id AS request_preview, {_TEXT_SQL} AS response_text, CASE k % 5 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 1 ELSE 0 END AS notes
           FROM ev WHERE event_type <> 'signup')
         SELECT * EXCLUDE (notes), regexp_matches(response_text, '[0-9]{{2}}V[0-9]{{3,}}') AS cite_id_present, TRUE AS word_count_under,
-          (response_text LIKE '%Tesla%' OR response_text LIKE '%frame%') AS mentions_oem FROM u WHERE notes = 0 AND trim(coalesce(response_text, '')) <> ''""",
-)
+          (response_text LIKE '%Tesla%' OR response_text LIKE '%frame%') AS mentions_oem FROM u WHERE notes = 0 AND trim(coalesce(response_text, '')) <> ''"""
+
+
+@query("unscored_traces", _UNSCORED_SQL)
 def unscored_traces(t: Tables):
     """Traces still to be scored, with their text-only scores ("frame" holds "ram")."""
     return monitoring.cheap_scores(monitoring.unscored(traces(t), "agent"))
 
 
+@query("scoring_stream", _UNSCORED_SQL)
+def scoring_stream(t: Tables):
+    """Traces arrive in two lots, of which the second holds the first once more: two triggers score each trace once."""
+    source, target, progress = (scratch_path(t.spark, n) for n in ("traces", "scores", "score-progress"))
+    every = traces(t)
+    for lot in (every.where(F.crc32(F.col("trace_id").cast("binary")) % 2 == 0), every):
+        lot.write.mode("append").parquet(source)
+        arriving = t.spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 64).parquet(source)
+        scoring.score_available(t.spark, arriving, target, progress, endpoint="agent")
+    return scoring.read_scores(t.spark, target, monitoring.cheap_scores(monitoring.unscored(every, "agent")).schema)
+
+
 @query(
     "judge_sample",
     f"""WITH ev AS (SELECT *, (props->>'$.k')::INTEGER AS k FROM events), u AS (SELECT 't' || event_id AS trace_id, {_TEXT_SQL} AS response_text,
