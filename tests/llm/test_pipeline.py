@@ -27,7 +27,7 @@ def con():
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(CHECKS))
@@ -35,7 +35,7 @@ def test_query_matches_its_sql(spark, con, name):
     assert oracle.differences(QUERIES[name](spark, D), con, CHECKS[name]) == []
 
 
-@pytest.mark.parametrize(("name", "table"), [("op4_html_extraction", "pages"), ("op5_quality_classifier", "documents"), ("op6_suffix_array", "documents"), ("op8_token_counts", "documents")])
+@pytest.mark.parametrize(("name", "table"), [("op4_html_extraction", "pages"), ("op5_quality_classifier", "documents"), ("op6_suffix_array", "documents"), ("op8_token_counts", "documents"), ("op13_token_alignment", "documents")])
 def test_a_row_for_each_row(spark, name, table):
     assert QUERIES[name](spark, D).count() == spark.read.parquet(f"{D}/{table}.parquet").count()
 
@@ -87,7 +87,7 @@ def test_stages_return_the_columns_of_documents(spark, frame, tmp_path):
     assert decontamination.clean(decontamination.decontaminate(docs, spark.read.parquet(f"{path}/benchmark.parquet"))).count() == 4
 
 
-def brute_passages(texts, length=400):
+def brute_passages(texts, length=corpus_pipeline.PASSAGE_BYTES):
     """The texts without each character that has a byte in a string of this length that occurs again."""
     data = [(t or "").encode() for t in texts]
     counts = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
