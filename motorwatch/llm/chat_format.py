@@ -23,6 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
@@ -127,14 +128,14 @@ def digests(formatted: DataFrame, targets: DataFrame | None = None) -> DataFrame
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[4] = stop
-            yield record(out, batch.column(0).type)
+            yield record(out)
         if state:
-            yield record([result()], conv_type)
+            yield record([result()])
 
-    conv_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    conv_type = to_arrow_type(formatted.schema["conv_id"].dataType)
 
-    def record(out, conv):
-        kinds = (conv, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    def record(out):
+        kinds = (conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))

@@ -361,3 +361,12 @@ def test_ties_are_broken_as_in_the_library(scores, texts):
 def test_a_vocabulary_over_the_bound_is_an_error(frame):
     with pytest.raises(ValueError, match="over the bound"):
         token_counts.count_tokens(frame([("a",)], "text string"), max_pieces=100)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,0)", "double", "string", "int"])
+def test_digests_keep_the_type_of_ids(spark, kind):
+    turns = spark.createDataFrame([(5, 0, "user", "a"), (5, 1, "assistant", "b"), (None, 0, "user", "c")], "conv_id long, turn int, role string, text string")
+    typed = turns.withColumn("conv_id", turns["conv_id"].cast(kind))
+    found = chat_format.digests(chat_format.format_turns(typed))
+    assert found.schema["conv_id"].dataType.simpleString() == kind
+    assert sorted((r["conv_id"] is None, r["n_turns"], r["loss_chars"]) for r in found.collect()) == [(False, 2, 1), (True, 1, 0)]
