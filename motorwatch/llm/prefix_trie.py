@@ -39,7 +39,7 @@ BLOCK = 1 << 14
 SHARDS = 4096
 HELD = 1 << 18
 #: Below so many conversations a subtree is never split.
-LIGHT = 1000
+LIGHT = 64
 #: Broadcasts of heavy keys are bounded to so many; levels below count as not heavy, and their shards are larger.
 MOST_HEAVY = 200_000
 ROOT = "0" * 32
