@@ -12,8 +12,8 @@ one is a suffix of the other, so their number is bounded by the two vocabularies
 hundred thousand); only because of this bound, which is checked, the counts are broadcast. Nothing is keyed by a token pair
 but these counts, so a frequent pair makes no hot task.
 
-Long texts are cut before a space between two ASCII letters and encoded in parts: no pre-token of A and no piece of B reaches over
-such a place (checked for B's vocabulary), so the tokens are those of the whole text, with bounded memory per part.
+A byte-level vocabulary whose merges are in the order of their tokens' ids, as its file says, is encoded by ranks, which is
+several times faster than its own library and gives the same tokens; any other is encoded by that library. Texts are encoded whole, a few at a time.
 
 Defined results: NULL and empty texts, and those whose joined token bytes are not the text with one space in front, have no tokens,
 all counts 0 and an empty digest; repeated documents are counted each; ids may repeat or be NULL; no documents give no rows. ``row`` carries
@@ -23,8 +23,8 @@ the columns other than the text, so no name can clash.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,12 @@ from ..session import stage
 from .common import small_batches
 
 VOCABULARY_A, VOCABULARY_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Ends in a piece, characters encoded at once, and the most linked pairs that may be broadcast.
+#: Ends in a piece, and the most linked pairs that may be broadcast.
 PIECE_ENDS = 1 << 16
-PART_CHARS = 1 << 17
 MOST_PAIRS = 1 << 22
 SPACE = "▁"
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Fixed value: how byte-level vocabularies split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,47 +91,41 @@ class Vocabularies:
         return longer_a + sum(ids[0].get(t[k:], 0) for t in of_b for k in range(1, len(t)))
 
 
+def by_ranks(vocabularies: Vocabularies, of_a: list[bytes]):
+    """A's encoder by ranks; None where its file asks for anything but plain byte-level merges in the order of ids."""
+    told = json.loads(vocabularies.json)
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model.get("ignore_merges") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    plain = plain and told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    ids = [model["vocab"].get("".join(m), -1) for m in merges]
+    if not plain or any(x >= y for x, y in zip(ids, ids[1:], strict=False)) or len(ids) + 256 != len(model["vocab"].keys() - {t["content"] for t in told["added_tokens"]}):
+        return None
+    import tiktoken
+
+    special = {t["id"] for t in told["added_tokens"]}
+    ranks = {t: i for i, t in enumerate(of_a) if i not in special}
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Encodes texts by both tokenizers; a text with other joined bytes than its own has no tokens."""
 
-    def __init__(self, vocabularies: Vocabularies, part_chars: int = PART_CHARS):
+    def __init__(self, vocabularies: Vocabularies):
         self.a, self.b = vocabularies.tokenizers()
         self.bytes_a, self.bytes_b = vocabularies.token_bytes()
-        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
-        self.part_chars = 0 if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces) else part_chars
-
-    def parts(self, text: str) -> list[str]:
-        """The text, cut at spaces that no token reaches over; each cut takes its space away, which both encodings put back."""
-        found, start = [], 0
-        while self.part_chars and len(text) - start > self.part_chars:
-            cut = _CUT.search(text, start + self.part_chars)
-            if not cut:
-                break
-            found.append(text[start : cut.start()])
-            start = cut.end()
-        return [*found, text[start:]]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        parts = [self.parts(t) for t in texts]
-        flat = [p for listed in parts for p in listed]
-        by_a, by_b, size, run = [], [], 0, []
-        for p in [*flat, None]:
-            if p is None or size + len(p) > self.part_chars and run:
-                by_a += [e.ids for e in self.a.encode_batch_fast([" " + r for r in run], add_special_tokens=False)]
-                by_b += self.b.encode(run, num_threads=1)
-                size, run = 0, []
-            if p is not None:
-                run.append(p)
-                size += len(p)
-        found, at = [], 0
-        for text, listed in zip(texts, parts, strict=True):
-            ids_a = [i for e in by_a[at : at + len(listed)] for i in e]
-            ids_b = [i for e in by_b[at : at + len(listed)] for i in e]
-            at += len(listed)
-            whole = b" " + text.encode()
-            good = text and all(b"".join(map(known.__getitem__, ids)) == whole for known, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-            found.append((np.array(ids_a if good else [], np.int32), np.array(ids_b if good else [], np.int32)))
-        return found
+        self.ranks = by_ranks(vocabularies, self.bytes_a)
+
+    def ids_a(self, text: str) -> list[int]:
+        return self.ranks.encode_ordinary(text) if self.ranks else self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids_a, ids_b, whole = [], [], b" " + text.encode()
+        if text:
+            ids_a, ids_b = self.ids_a(" " + text), self.b.encode([text], num_threads=1)[0]
+            if any(b"".join(map(known.__getitem__, ids)) != whole for known, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+                ids_a, ids_b = [], []
+        return np.array(ids_a, np.int32), np.array(ids_b, np.int32)
 
 
 def diagonals(ends_a: np.ndarray, ends_b: np.ndarray, size: int = PIECE_ENDS) -> list[tuple[int, int]]:
@@ -232,7 +226,8 @@ def token_pieces(docs: DataFrame, vocabularies: Vocabularies, text: str = "text"
             texts, ids = [t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_pylist()
             for start, stop in steps(texts):
                 rows, columns, lists = [], [[] for _ in range(5)], ([], [])
-                for i, (a, b) in enumerate(encoder.encode(texts[start:stop]), start):
+                for i in range(start, stop):
+                    a, b = encoder.encode(texts[i])
                     ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
                     path = diagonals(ends_a, ends_b, piece_ends)
                     for k, ((i0, j0), (i1, j1)) in enumerate(zip(path, path[1:], strict=False)):
