@@ -321,3 +321,25 @@ def test_ground_truth_join(frame):
     truth = frame([("tier1", "a", "TBD:x"), ("tier2", "c", "1")], "tier string, question string, expected_value string")
     got = {(r["tier"], r["question"]): (r["_matched"], r["is_pending"]) for r in evaluation.with_ground_truth(results, truth).collect()}
     assert got == {("tier1", "a"): (True, True), ("tier1", "b"): (False, False), ("tier2", "a"): (False, False)}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_with_a_key_of_their_own_are_not_moved_by_a_merge(spark, frame, plan, monkeypatch, limit):
+    monkeypatch.setattr(merge, "BROADCAST_KEYS", limit)
+    rows = [("a", None, "1"), (None, "a", "2"), (None, None, "4"), (None, None, "3"), ("a", "b", "6"), ("a", "b", "5"), ("ab", "", "7"), ("", "ab", "8")]
+    batch = frame(rows, "k string, l string, v string")
+    empty, some = batch.limit(0), frame([("a", "b", "0"), (None, "a", "0")], "k string, l string, v string")
+    for target in (empty, some):
+        for keep in ("first", "last"):
+            chosen = merge.new_rows_by_hash(batch, target, ["k", "l"], ["v"], keep)
+            want = merge.new_rows(batch, target, ["k", "l"], ["v"], keep)
+            assert sorted(map(repr, chosen.collect())) == sorted(map(repr, want.collect()))
+    if limit:
+        # Only the rows that share a key are dealt by it, below a join that finds few of them.
+        text = plan(merge.new_rows_by_hash(batch, empty, ["k", "l"], ["v"]))
+        assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text and "LeftAnti" in text
+
+
+def test_raw_rows_come_back_whole_from_compressed_tables(spark, house):
+    for table in ("bronze_recalls", "silver_recalls", "gold_recalls_fact"):
+        assert all(".zstd." in f for f in house.table(table).inputFiles()), table
