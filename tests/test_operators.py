@@ -367,3 +367,10 @@ def test_p95_against_statistics(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     want = statistics.quantiles(values, n=100, method="inclusive")[94]
     assert quantiles.exact_quantile(df, "v", 0.95).first()[0] == pytest.approx(want)
+
+
+def test_only_the_move_of_the_end_that_was_found_is_tried():
+    for spec in (chunking.ChunkSpec(400, 50, ". "), chunking.ChunkSpec(12, 9, "ab", 4), chunking.ChunkSpec(6, 0, " ")):
+        pattern = chunking.window_pattern(spec, True)
+        moves = pattern[pattern.rindex("(?:") + 3 : -1].split("|")
+        assert [m[:2] for m in moves] == [f"\\{n}" for n in range(2, 2 + pattern.count("()"))]
