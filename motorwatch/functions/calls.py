@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,32 @@ from .text import strip
 _ARGUMENT = r"""(\w+)\s*=\s*(["'])((?:\\.|(?!\2)[^\\])*)\2"""
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: an expression that mentions another one twice works it out twice."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(call: Column) -> Column:
+    """``struct(name, body)`` of a text that ends with a bracket, cut at its first opening one."""
+    opened = F.instr(call, "(")
+    name = strip(F.substr(call, F.lit(1), F.greatest(opened - 1, F.lit(0))))
+    body = strip(F.substr(call, opened + 1, F.length(call) - opened - 1))
+    return F.when((opened > 0) & F.endswith(call, F.lit(")")), F.struct(name.alias("name"), body.alias("body")))
+
+
+def _arguments(body: Column) -> Column:
+    from_object = F.when(F.startswith(body, F.lit("{")), F.from_json(body, "map<string,string>"))
+    keys, values = (F.regexp_extract_all(body, F.lit(_ARGUMENT), F.lit(group)) for group in (1, 3))
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+
+    def last(pairs: Column) -> Column:
+        return F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda later: later["key"] == p["key"])
+        )
+
+    return F.coalesce(from_object, _let(pairs, lambda found: F.when(F.size(found) > 0, F.map_from_entries(last(found)))))
+
+
 def textual_call(text: Column | str, allowed: tuple[str, ...]) -> Column:
     """``struct(name, args)`` when the whole text is one call to an allowed name, else NULL.
 
@@ -19,20 +47,10 @@ def textual_call(text: Column | str, allowed: tuple[str, ...]) -> Column:
     last value. A call without readable arguments is no call.
     """
     text = F.col(text) if isinstance(text, str) else text
-    call = strip(text)
-    opened = F.instr(call, "(")
-    name = strip(F.substr(call, F.lit(1), F.greatest(opened - 1, F.lit(0))))
-    whole = (opened > 0) & F.endswith(call, F.lit(")")) & name.rlike(r"\A\w+\z")
-    body = F.when(whole, strip(F.substr(call, opened + 1, F.length(call) - opened - 1))).otherwise("")
-
-    from_object = F.when(F.startswith(body, F.lit("{")), F.from_json(body, "map<string,string>"))
 
-    keys, values = (F.regexp_extract_all(body, F.lit(_ARGUMENT), F.lit(group)) for group in (1, 3))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(
-        pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda later: later["key"] == p["key"])
-    )
-    from_words = F.when(F.size(pairs) > 0, F.map_from_entries(last))
+    def read(call: Column) -> Column:
+        whole = call["name"].rlike(r"\A\w+\z") & call["name"].isin(*allowed)
+        told = _let(_arguments(call["body"]), lambda args: F.when(args.isNotNull(), F.struct(call["name"].alias("name"), args.alias("args"))))
+        return F.when(whole, told)
 
-    args = F.coalesce(from_object, from_words)
-    return F.when(whole & name.isin(*allowed) & args.isNotNull(), F.struct(name.alias("name"), args.alias("args")))
+    return _let(_let(strip(text), _parts), read)

@@ -235,3 +235,10 @@ def test_html_to_text(column):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert df.select(cosine(F.col("a"), F.col("b"))).first()[0] == pytest.approx(2**-0.5)
+
+
+def test_a_call_is_read_once(spark, plan):
+    from motorwatch.functions.calls import textual_call
+
+    text = plan(spark.createDataFrame([("f(a='1')",)], "x string").select(textual_call("x", ("f",))))
+    assert text.count("regexp_extract_all") <= 4 and text.count("from_json") <= 2
