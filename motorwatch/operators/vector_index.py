@@ -32,6 +32,8 @@ ROWS_PER_SLOT = 100_000
 ROUNDS = 8
 #: Angles are compared with this slack, far above rounding and far below what matters.
 SLACK = 1e-7
+#: Vectors that are compared with all centroids at a time.
+VECTORS_PER_STEP = 256
 LIST, SLOT, ANGLE = "_list", "_slot", "_angle"
 
 
@@ -68,6 +70,13 @@ def learn_centroids(sample: np.ndarray, n_lists: int, rounds: int = ROUNDS) -> n
     return np.unique(centers, axis=0)
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows each, as a row takes several numbers for every centroid."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, VECTORS_PER_STEP):
+            yield batch.slice(at, VECTORS_PER_STEP)
+
+
 def build_index(
     corpus: DataFrame, path: str, *, id_col: str = "chunk_id", vector: str = "embedding", n_lists: int | None = None,
     sample: int = SAMPLE, rows_per_slot: int = ROWS_PER_SLOT,
@@ -84,8 +93,8 @@ def build_index(
     at = source.columns.index(vector)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and len(shared.value):
+        for batch in _steps(batches):
+            if len(shared.value):
                 cosines = _unit_rows(_matrix(batch.column(at))) @ shared.value.T
                 nearest = np.argmax(np.nan_to_num(cosines, nan=-2.0), axis=1)
                 angles = np.arccos(np.clip(cosines[np.arange(len(nearest)), nearest], -1, 1))
@@ -138,8 +147,8 @@ def _pairs(asked: DataFrame, lists: Lists, k: int, later: bool) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(known.ids):
+        for batch in _steps(batches):
+            if not len(known.ids):
                 continue
             angles = known.angles(_matrix(batch.column(1)))
             chosen = known.first(angles, k)

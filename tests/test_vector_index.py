@@ -98,3 +98,14 @@ def test_many_queries_meet_as_many_slots_as_the_rows_ask_for(spark, plan):
     assert ids(few) == want and ids(many) == want
     assert "BroadcastHashJoin" in plan(few) and "14, " not in plan(few)
     assert "sequence(0, 13" in plan(many) or "Generate explode" in plan(many)
+
+
+def test_few_vectors_meet_all_centroids_at_a_time():
+    import pyarrow as pa
+
+    from motorwatch.operators import vector_index
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_001))], names=["i"])
+    parts = list(vector_index._steps(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == vector_index.VECTORS_PER_STEP
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10_001))
