@@ -72,10 +72,12 @@ _PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 _ORDER = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
-def write_lines(t: Tables) -> None:
+def write_lines(t: Tables, *names: str) -> None:
     """Works the joins below the line feeds out once, for queries that read these feeds several times."""
-    t.keep("covered", stage(covered(t).select(*_LINE, *_ORDER, *_PART), "covered", "zstd"))
-    t.keep("supplied", stage(supplied(t).select(*_LINE, *_PART), "supplied", "zstd"))
+    joins = {"covered": (covered, (*_LINE, *_ORDER, *_PART)), "supplied": (supplied, (*_LINE, *_PART))}
+    for name in names:
+        join, columns = joins[name]
+        t.keep(name, stage(join(t).select(*columns), name, "zstd"))
 
 
 _YEAR = "CASE p_size % 10 WHEN 0 THEN '' WHEN 1 THEN '2004.0' WHEN 2 THEN ' 2005 ' ELSE CAST(1970 + p_size AS {text}) END"
