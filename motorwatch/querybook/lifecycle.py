@@ -302,7 +302,6 @@ _CASES = f"""{sqltext.TYPED_INVESTIGATIONS}, {sqltext.TYPED_BULLETINS.replace(sq
 def parsed_text_chunks(t: Tables):
     """Parsed documents of bulletins and investigations take the place of the summaries."""
     day = feeds.as_of()
-    feeds.write_lines(t, "covered", "supplied")  # each is read for the documents and for their metadata
     cases, bulletins = typed.investigations(feeds.raw_investigations(t), day), typed.bulletins(feeds.raw_bulletins(t), day)
     files = cases.select("nhtsa_action_number").distinct().select(
         F.concat("nhtsa_action_number", F.lit("__x")).alias("doc_id"), F.concat(F.lit("Case file "), "nhtsa_action_number").alias("full_text")

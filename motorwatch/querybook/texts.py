@@ -66,7 +66,6 @@ def chunk_docs_hard(t: Tables):
 def narrative_chunks(t: Tables):
     """All four sources; the investigations' documents are made here, one per case."""
     day = feeds.as_of()
-    feeds.write_lines(t, "covered")  # read for the documents and for their metadata
     cases = typed.investigations(feeds.raw_investigations(t), day)
     number = F.col("nhtsa_action_number")
     files = cases.select(number).distinct().select(
