@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -15,10 +15,34 @@ TRACKER_SCHEMA = (
 )
 
 
+#: A budget up to this is picked by keeping the first rows of each task and then of those.
+SMALL_BUDGET = 10_000
+
+
+def first_rows(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``key``, in that order, none of them counted or held in one task.
+
+    The rows are sorted over all tasks and written; a row's rank is its place in its part plus the sizes of the parts before.
+    """
+    from ..session import stage
+
+    placed = stage(rows.orderBy(key).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    ranked = placed.join(F.broadcast(before), part == F.col("_part"))
+    return ranked.where(F.col("_before") + place < n).select(*[placed[f"`{c}`"] for c in rows.columns]).orderBy(key)
+
+
 def pending(docs: DataFrame, done: DataFrame, doc_id: str, done_id: str = "doc_id", budget: int | None = None) -> DataFrame:
-    """Documents not yet recorded as done, in id order, at most ``budget`` of them per run."""
+    """Documents not yet recorded as done, in id order, at most ``budget`` of them per run.
+
+    Of a budget above ``SMALL_BUDGET`` the ids still to do are written on the way (:func:`first_rows`).
+    """
     seen = done.select(F.col(done_id).alias("_done"))
     left = docs.join(seen, F.col(doc_id) == F.col("_done"), "left_anti")
+    if budget is not None and budget > SMALL_BUDGET:
+        return first_rows(left, doc_id, budget)
     return left if budget is None else left.orderBy(doc_id).limit(budget)
 
 

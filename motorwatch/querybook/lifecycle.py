@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import itertools
 import uuid
 import zipfile
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..operators import catalog, merge, worklist
 from ..plans import corpus, typed
 from ..plans.comments import COLUMN_COMMENTS, TABLE_COMMENTS
 from ..plans.warehouse import EXPOSED, Warehouse
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from ..sources import archives, documents, evalsets
 from ..sources.feeds import FEEDS
 from . import feeds, sqltext
@@ -131,6 +133,44 @@ def result_files(t: Tables):
 # -------------------------------------------------------------------- backlog
 
 
+#: Files in one folder at most.
+FOLDER_FILES = 1000
+
+
+def _write_files(lines: DataFrame, folder: str) -> DataFrame:
+    """The lines of each ``doc_id`` of a task in one file: ``doc_id`` (empty if NULL) and ``volume_path``, once the result is written.
+
+    An attempt of a task has folders of its own, so what a lost one leaves behind is not named.
+    """
+    spark = lines.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    home = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    home.mkdirs(root)
+    uri = home.makeQualified(root).toString()
+
+    def write(batches):
+        system, base = documents.file_system(uri)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        rows = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for batch in batches for i in range(batch.num_rows))
+        names, paths = [], []
+        for doc_id, same in itertools.groupby(rows, key=lambda row: row[0]):
+            place = f"{attempt}-{n // FOLDER_FILES}"
+            if n % FOLDER_FILES == 0:
+                system.create_dir(f"{base}/{place}")
+            with system.open_output_stream(f"{base}/{place}/{n}.txt") as out:
+                for _, line in same:
+                    out.write(f"{line or ''}\n".encode())
+            names.append(doc_id or "")
+            paths.append(f"{folder}/{place}/{n}.txt")
+            n += 1
+            if len(names) == FOLDER_FILES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(paths, pa.string())], names=["doc_id", "volume_path"])
+                names, paths = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(paths, pa.string())], names=["doc_id", "volume_path"])
+
+    return lines.sortWithinPartitions("doc_id").mapInArrow(write, "doc_id string, volume_path string")
+
+
 @query(
     "drain_backlog",
     """WITH p AS (SELECT page_id::VARCHAR AS doc_id, html FROM pages)
@@ -140,16 +180,15 @@ def result_files(t: Tables):
 def drain_backlog(t: Tables):
     """All stored pages, drained in runs of half the backlog, the last of which finds nothing left; one file is not there."""
     folder, schema = scratch_path(t.spark, "files"), _schema(t)
-    t.pages.select(F.concat(F.lit("p"), "page_id").alias("doc"), F.base64(F.encode("html", "UTF-8")).alias("value")).write.partitionBy("doc").text(folder)
-    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    docs = found.select(F.regexp_extract("path", "doc=p([^/]*)", 1).alias("doc_id"), F.col("path").alias("volume_path"))
+    docs = stage(_write_files(t.pages.select(F.col("page_id").cast("string").alias("doc_id"), F.base64(F.encode("html", "UTF-8")).alias("line")), folder), "files")
+    files = stage(documents.list_files(t.spark, folder), "listing")
     docs = docs.union(t.spark.createDataFrame([("0-gone", f"{folder}/gone.txt")], "doc_id string, volume_path string"))
     html = F.decode(F.unbase64(F.decode("content", "UTF-8")), "UTF-8")
     budget = -(-docs.count() // 2)
 
     def run() -> int:
         return worklist.drain(
-            t.spark, docs, lambda wanted: documents.load_binaries(t.spark, wanted, folder), lambda df: html, f"{schema}.parsed", f"{schema}.tracker",
+            t.spark, docs, lambda wanted: documents.load_binaries(t.spark, wanted, folder, files=files), lambda df: html, f"{schema}.parsed", f"{schema}.tracker",
             doc_id="doc_id", path="volume_path", version="copy/1", budget=budget, details={"pages": F.length("full_text").cast("bigint")},
         )["queued"]
 

@@ -15,32 +15,58 @@ from ..functions.payloads import listed_documents, page_links, resolve_url
 from ..functions.text import safe_file_part
 
 
-def load_binaries(spark: SparkSession, wanted: DataFrame, folder: str, *, path: str = "volume_path") -> DataFrame:
+#: Bytes of documents that a task holds at a time, about.
+_HELD = 1 << 20
+
+
+def file_system(uri: str):
+    """The file system that Arrow knows for a URI as Hadoop writes it, and the path there."""
+    from pyarrow import fs
+
+    local = re.match(r"(?:file:)?/+", uri)
+    return (fs.LocalFileSystem(), "/" + uri[local.end() :]) if local else fs.FileSystem.from_uri(uri)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file below a folder: ``_file`` as its file system names it, and ``_path``, the same without a scheme."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_replace("path", r"\A[a-z]+:/*", "/").alias("_path"), F.col("path").alias("_file"))
+
+
+def load_binaries(
+    spark: SparkSession, wanted: DataFrame, folder: str, *, path: str = "volume_path", files: DataFrame | None = None
+) -> DataFrame:
     """Document bytes joined to a worklist; ``content`` is NULL where the file is missing.
 
     Missing files stay in the result, so that the caller can record them instead of queueing
-    them again for ever. The folder is only listed: paths meet the worklist, and the tasks that hold
-    the matches open these files themselves, so bytes are neither read in vain nor moved.
+    them again for ever. The folder is only listed: paths meet the worklist, the matches are dealt to all cores, however few bytes
+    their paths have, and the tasks that get them open these files themselves, so bytes are neither read in vain nor moved.
+    ``files`` is the folder's :func:`list_files`, kept by a caller of many runs over a folder that stays as it is.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select(F.regexp_replace("path", r"\A[a-z]+:/*", "/").alias("_path"), F.col("path").alias("_file"))
+    files = list_files(spark, folder) if files is None else files
     target = F.regexp_replace(F.col(path), r"\A(?:[a-z]+:)?/+", "/")
     found = wanted.join(files, target == F.col("_path"), "left").select(F.struct(*wanted.columns).alias("row"), "_file")
     schema = T.StructType([found.schema["row"], T.StructField("content", T.BinaryType())])
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    def content(uri: str | None) -> bytes | None:
+        if uri is None:
+            return None
+        system, name = file_system(uri)
+        with system.open_input_stream(name) as stream:
+            return stream.read()
 
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # one document is held at a time
-                uri, content = batch.column(1)[i].as_py(), None
-                if uri is not None:
-                    system, name = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", uri))
-                    with system.open_input_stream(name) as stream:
-                        content = stream.read()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([content], pa.binary())], names=["row", "content"])
-
-    return found.mapInArrow(load, schema).select("row.*", "content")
+            first, held, size = 0, [], 0
+            for i in range(batch.num_rows):
+                held.append(content(batch.column(1)[i].as_py()))
+                size += len(held[-1] or b"")
+                if size >= _HELD or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.array(held, pa.binary())], names=["row", "content"])
+                    first, held, size = i + 1, [], 0
+
+    dealt = found.repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(load, schema).select("row.*", "content")
 
 
 def listing_entries(bodies: DataFrame, body: str, base: Column, *, suffix: str = r"\.pdf") -> DataFrame:

@@ -355,6 +355,18 @@ def test_worklists(frame):
     assert {r[0] for r in worklist.unscraped(cases, frame([("4",)], "n string"), "n", "opened", "20200101").collect()} == {"1"}
 
 
+def test_a_large_budget_is_picked_by_all_tasks(spark, frame, plan, monkeypatch):
+    monkeypatch.setattr(worklist, "SMALL_BUDGET", 10)
+    ids = [None, *(str(i) for i in range(500)), "7", "7"]
+    docs = frame([(i, n) for n, i in enumerate(ids)], "doc_id string, n int").repartition(6)
+    done = frame([(str(i),) for i in range(0, 500, 2)], "doc_id string")
+    left = sorted((i for i in ids if i is None or int(i) % 2), key=lambda i: (i is not None, i))
+    for budget in (11, 200, 252, 253, 1000):
+        picked = worklist.pending(docs, done, "doc_id", budget=budget)
+        assert picked.columns == ["doc_id", "n"] and "TakeOrdered" not in plan(picked)
+        assert [r["doc_id"] for r in picked.collect()] == left[:budget]
+
+
 def test_point_lookup_reports_missing_and_long_ids(frame):
     table = frame([(10, "x"), (10, "a"), (11, "b")], "id int, v string")
     asked = frame([("10",), ("99",), ("10",), ("9" * 65,)], "id string")

@@ -137,6 +137,32 @@ def test_only_wanted_files_are_read(spark, tmp_path, plan):
     assert "ReadSchema: struct<path:string>" in scan
 
 
+def test_documents_are_opened_by_all_cores(spark, tmp_path):
+    for name in range(40):
+        (tmp_path / f"{name}.bin").write_bytes(str(name).encode() * 3)
+    (tmp_path / "with space.bin").write_bytes(b"spaced")
+    paths = [f"{tmp_path}/{name}.bin" for name in [*range(41), "with space"]]
+    wanted = spark.createDataFrame([(str(i), p) for i, p in enumerate(paths)], "doc_id string, volume_path string").orderBy("doc_id").limit(50)
+    want = {str(i): str(i).encode() * 3 for i in range(40)} | {"40": None, "41": b"spaced"}
+    for files in (None, documents.list_files(spark, str(tmp_path))):
+        loaded = documents.load_binaries(spark, wanted, str(tmp_path), files=files)
+        assert {r["doc_id"]: r["content"] and bytes(r["content"]) for r in loaded.collect()} == want
+        tasks = loaded.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert tasks > 4
+
+
+def test_stored_lines_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycle, "FOLDER_FILES", 3)
+    rows = [(str(i), f"line {i}") for i in range(10)] + [("3", "line 3"), (None, "no id"), ("x", None)]
+    lines = spark.createDataFrame(rows, "doc_id string, line string").coalesce(1)
+    kept = [(r["doc_id"], r["volume_path"]) for r in lifecycle._write_files(lines, f"{tmp_path}/files").collect()]
+    assert sorted(d for d, _ in kept) == sorted(["", "x", *map(str, range(10))])
+    text = {d: open(p).read() for d, p in kept}
+    assert text["3"] == "line 3\nline 3\n" and text[""] == "no id\n" and text["x"] == "\n" and text["9"] == "line 9\n"
+    assert len({p.rsplit("/", 1)[0] for _, p in kept}) == 4
+    assert lifecycle._write_files(lines.limit(0), f"{tmp_path}/none").count() == 0 and (tmp_path / "none").is_dir()
+
+
 def test_questions_are_checked(spark, tmp_path):
     good = tmp_path / "t1.tsv"
     good.write_text("# note\n\t \nquestion\treference_sql\texpected_value\nHow many?\tSELECT 1\t1\n  # more\nWhy?\t\tTBD:x\n")
