@@ -195,6 +195,19 @@ def test_a_very_long_text_is_worked_on_in_pieces(frame, monkeypatch):
     assert got == brute_cut(texts, 9)
 
 
+def test_units_are_shuffled_once_a_step(frame, plan, monkeypatch):
+    plans, keep = [], suffix_array.Stages.keep
+
+    def kept(self, df, label):
+        if any("/units-" in path for path in df.inputFiles()):
+            plans.append(plan(df))
+        return keep(self, df, label)
+
+    monkeypatch.setattr(suffix_array.Stages, "keep", kept)
+    assert suffix_array.remove_repeats(documents(frame, repeat_texts()[:8]), length=20, kmer=12, period=7, cover=(0, 1, 3)).columns
+    assert plans and all(text.count("Exchange hashpartitioning") <= 2 for text in plans)
+
+
 def test_nothing_to_cut(frame):
     docs = documents(frame, ["a", None])
     assert [r["n_removed"] for r in suffix_array.remove_repeats(docs).collect()] == [0, 0]
