@@ -208,6 +208,45 @@ def test_units_are_shuffled_once_a_step(frame, plan, monkeypatch):
     assert plans and all(text.count("Exchange hashpartitioning") <= 2 for text in plans)
 
 
+def test_equal_units_of_a_text_are_one_row(frame, monkeypatch):
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("abcdeé ") for _ in range(n))
+    line = word(14)
+    texts = [line * n + word(30) for n in (40, 90, 160)] + [word(25) + line * 12 + word(25), line * 160, word(80), "ab" * 30 + word(20) + "ab" * 40, word(12) * 2]
+    rows, keep = {}, suffix_array.Stages.keep
+
+    def kept(self, df, label):
+        out = keep(self, df, label)
+        rows[label] = out.collect()
+        return out
+
+    monkeypatch.setattr(suffix_array.Stages, "keep", kept)
+    found = suffix_array.remove_repeats(documents(frame, texts), length=20, kmer=12, period=7, cover=(0, 1, 3)).collect()
+    assert Counter(((r["row"]["text"] or "").encode(), r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found) == brute_cut(texts, 20)
+    units = Counter((r["node"], r["fp"], r["h"]) for r in rows["units"] if r["fp"] is not None)
+    assert units and max(units.values()) == 1
+    # What is joined does not grow with the repeats of a line in a text.
+    assert len(rows["alike"]) < 200 and len(rows["seen"]) < 200
+
+
+def test_counted_units_are_those_of_a_list():
+    draw = random.Random(12)
+    for _ in range(60):
+        node, fp, h = (np.array([draw.randrange(k) for _ in range(size)], dtype=np.int64) for size in [draw.randint(0, 25)] for k in (2, 2, 3))
+        node.sort()
+        b = np.cumsum([draw.randint(1, 3) for _ in node]).astype(np.int64)
+        a = np.concatenate([[0], b[:-1]]).astype(np.int64)[: len(b)]
+        rows, runs = suffix_array.counted(node, fp, h, a, b)
+        want = Counter(zip(node.tolist(), fp.tolist(), h.tolist(), strict=True))
+        assert {x[:3]: x[5] for x in zip(*map(np.ndarray.tolist, rows), strict=True)} == want and len(rows[0]) == len(want)
+        assert all((n, f, g, x, y) in set(zip(*(c.tolist() for c in (node, fp, h, a, b)), strict=True)) for n, f, g, x, y, _ in zip(*map(np.ndarray.tolist, rows), strict=True))
+        windows = {(n, i) for n, f, g, x, y in zip(*(c.tolist() for c in (node, fp, h, a, b)), strict=True) if want[n, f, g] > 1 for i in range(x, y)}
+        held = [(n, i) for n, x, y in zip(*map(np.ndarray.tolist, runs), strict=True) for i in range(x, y)]
+        assert len(held) == len(windows) and set(held) == windows
+        ends = Counter((n, y) for n, _, y in zip(*map(np.ndarray.tolist, runs), strict=True))
+        assert not any((n, x) in ends for n, x, _ in zip(*map(np.ndarray.tolist, runs), strict=True))
+
+
 def test_nothing_to_cut(frame):
     docs = documents(frame, ["a", None])
     assert [r["n_removed"] for r in suffix_array.remove_repeats(docs).collect()] == [0, 0]
