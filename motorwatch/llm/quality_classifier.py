@@ -151,7 +151,8 @@ def train(
 
     # One small file of 2^bits numbers: the driver reads it back in order.
     weights = stage(ordered.mapInArrow(run, "w double").select(F.monotonically_increasing_id().alias("i"), "w"), "weights")
-    return np.array([r["w"] for r in sorted(weights.collect(), key=lambda r: r["i"])] or [0.0] * ((1 << bits) + 1))
+    listed = weights.toArrow()  # no Python object for each number
+    return listed["w"].to_numpy()[np.argsort(listed["i"].to_numpy())] if listed.num_rows else np.zeros((1 << bits) + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -191,6 +192,19 @@ def test_classifier_on_held_out_rows(frame, spark):
     assert got[900]["score"] == got[901]["score"]
 
 
+def test_the_driver_reads_weights_without_an_object_for_each(frame):
+    docs = frame([(i, f"w{i % 7} good" if i % 2 else f"w{i % 7} bad !!", "s", 0, "x", None) for i in range(40)], DOCS)
+    labels = frame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        weights = quality_classifier.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert weights.shape == (1 + (1 << quality_classifier.BITS),) and weights.any()
+    assert peak < 32e6
+
+
 def test_classifier_without_labels(frame):
     docs, labels = documents(frame, ["a", None]), frame([], "doc_id bigint, quality int, toxic int")
     weights = quality_classifier.train(docs, labels)
