@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,6 +145,21 @@ def _packed_as_they_lie(df: DataFrame, slots: int) -> DataFrame:
     return df.mapInArrow(pack, "_slot int, _rows binary")
 
 
+def _first_of_ties(q: np.ndarray, r: np.ndarray, scores: np.ndarray, ids: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``k`` of the pairs per query, the best ones, and of equal scores those of the lowest ids, NULL first as in the final order.
+
+    Without it a vector that many rows share would send all of them for each of its queries.
+    """
+    if not len(q) or np.bincount(q).max() <= k:
+        return q, r
+    places = np.empty(len(ids), np.int64)
+    places[pc.sort_indices(ids, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((places[r], -scores, q))
+    q, r = q[order], r[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], r[kept]
+
+
 def _searcher(k: int, id_col: str, vector: str, query_id: str, label_type: pa.DataType, kept: list[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[object, np.ndarray] = {}  # per query block: the k-th best score that this task has passed on
@@ -161,6 +177,7 @@ def _searcher(k: int, id_col: str, vector: str, query_id: str, label_type: pa.Da
                 q, r = np.nonzero((scores >= np.maximum(cut, floor)[:, None]) & (scores > -np.inf))
                 if scores.shape[1] >= k:
                     np.maximum(floor, cut, out=floor)
+                q, r = _first_of_ties(q, r, scores[q, r], rows.column(id_col), k)
                 if len(q):
                     labels = asked.column("_q").take(pa.array(q)).cast(label_type)
                     found = rows.select(kept).take(pa.array(r))

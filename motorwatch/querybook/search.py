@@ -81,10 +81,16 @@ def _askers(t: Tables):
     return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("vector_self_search", _NEAREST_SQL.format(where="", more="", k=3))
+@query(
+    "vector_self_search",
+    """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+       s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM u a, u b)
+       SELECT query_id, vec_id, rn::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 3""",
+)
 def vector_self_search(t: Tables):
-    """Every twentieth embedding asks for its three nearest among all."""
-    return top_k(t.embeddings, _askers(t), k=3, id_col="vec_id").select("query_id", "vec_id", "rank")
+    """Every embedding asks for its three nearest among all."""
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return top_k(t.embeddings, asked, k=3, id_col="vec_id").select("query_id", "vec_id", "rank")
 
 
 @query("vector_index_search", _NEAREST_SQL.format(where="", more=", label", k=8))

@@ -8,6 +8,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from motorwatch.functions.text import WHITESPACE
 from motorwatch.operators import chunking, merge, quantiles, sampling, sessions, snapshot, vectors, worklist
+from motorwatch.querybook import registered
 from motorwatch.streaming.filters import fold, in_force, note
 
 # ------------------------------------------------------------------- merging
@@ -258,6 +260,24 @@ def test_top_k_matches_numpy(spark, monkeypatch, queries_per_block, rows_per_blo
         assert got == _expected(data, vector, 6), name
 
 
+def test_every_vector_asks_for_its_neighbours(spark, tmp_path):
+    rows = [(i, [1.0, i / 10], i % 2) for i in range(1, 8)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    hits = registered()["vector_self_search"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in hits) == [(i, n) for i in range(1, 8) for n in (1, 2, 3)]
+    assert all(r["vec_id"] == r["query_id"] for r in hits if r["rank"] == 1)
+
+
+def test_equal_vectors_send_no_more_than_k_rows_a_query_and_block(spark):
+    ids = pa.chunked_array([pa.array([5, None, 3, 4], pa.int64())])
+    q, r = np.array([0, 0, 0, 0, 1]), np.array([0, 1, 2, 3, 2])
+    q, r = vectors._first_of_ties(q, r, np.ones(5), ids, 2)
+    assert list(zip(q.tolist(), r.tolist(), strict=True)) == [(0, 1), (0, 2), (1, 2)]
+    corpus = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(60)], "chunk_id bigint, embedding array<float>").repartition(3)
+    hits = vectors.top_k(corpus, corpus.selectExpr("chunk_id AS query_id", "embedding AS query_vector"), k=2)
+    assert sorted(r["chunk_id"] for r in hits.collect()) == [0] * 60 + [1] * 60
+
+
 def test_top_k_filters(spark):
     data, corpus = _vectors(spark)
     queries = spark.createDataFrame([("q", [float(x) for x in data[1]])], "query_id string, query_vector array<float>")
