@@ -77,6 +77,19 @@ def test_dates_are_clamped(column):
     assert column(casts.compact_date("x", as_of), samples) == want
 
 
+def test_texts_of_another_shape_never_reach_a_parser(spark, column, plan):
+    samples = ["20200131", "20200230", "20201301", "20200100", "2020131", "020200131", "20200131 ", "20200131\n", "+20200131", "-20200131", "٢٠٢٠٠١٣١"]
+    as_of = F.lit("2024-06-01").cast("date")
+    assert column(casts.compact_date("x", as_of), samples) == [dt.date(2020, 1, 31)] + [None] * 10
+    numbers = ["+5", "-5", "\t5\n", "5\x7f", "+", "", "5.0", "1e3", "５", "2147483648", " - 5"]
+    assert column(casts.lenient_int("x"), numbers) == [5, -5, 5, 5] + [None] * 7
+    assert column(casts.lenient_long("x"), numbers)[9] == 2147483648
+    assert column(casts.any_date("x"), ["05/32/2024", "2024-13-01", "XYZ-2024", "unknown", "2024"]) == [None] * 4 + [dt.date(2024, 1, 1)]
+    df = spark.createDataFrame([("x",)], "x string")
+    for made in (casts.compact_date("x", as_of), casts.lenient_int("x"), casts.any_date("x")):
+        assert "RLIKE" in plan(df.repartition(1).select(made)).upper()
+
+
 def test_crash_dates_and_levels(column):
     samples = ["2024-05-01", "05/01/2024", "MAR-2026", "Mar-2026", "junk", None]
     want = [dt.date(2024, 5, 1), dt.date(2024, 5, 1), dt.date(2026, 3, 1), dt.date(2026, 3, 1), None, None]

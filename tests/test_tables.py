@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from motorwatch.operators import catalog, merge
-from motorwatch.plans import corpus, evaluation, monitoring, reports, star, typed
+from motorwatch.plans import corpus, evaluation, monitoring, reports, star, typed, warehouse
 from motorwatch.plans.warehouse import EXPOSED, Warehouse
+from motorwatch.querybook import feeds
+from motorwatch.querybook.registry import Tables
 from motorwatch.sources.feeds import FEEDS
 from motorwatch.streaming.filters import accumulate_stream
 from motorwatch.streaming.ingest import ingest_available, read_landed
@@ -156,6 +159,52 @@ def test_chunk_ids_stay_unique_when_one_id_has_several_texts(frame):
     assert len(plain) == 3 and plain <= {r["chunk_id"] for r in got}
 
 
+def test_texts_are_told_apart_source_by_source_and_leave_no_shuffles(spark, frame, monkeypatch):
+    written, freed = [], "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def watched(df, label, compression=None, really=corpus.stage):
+        written.append((label, spark.conf.get(freed)))
+        return really(df, label, compression)
+
+    monkeypatch.setattr(corpus, "stage", watched)
+    typed_rows = frame(
+        [("SB1", "one", "B"), ("SB1", "one", "A"), ("SB1", "two", None), (None, "one", None), (None, "one", None), ("SB2", "", None)],
+        "tsb_id string, summary string, make_norm string",
+    ).selectExpr("*", "'m' AS model_norm", "1 AS model_year", "'c' AS component_group", "'g' AS oem_group", "DATE '2020-01-01' AS original_date")
+    rows = corpus.narrative_chunks([corpus.from_bulletins(typed_rows), None, corpus.from_bulletins(typed_rows.where("tsb_id = 'SB1'"))]).collect()
+    assert sorted((r["source_id"] or "", r["content"], r["make_norm"] or "") for r in rows) == [("", "one", ""), ("SB1", "one", "A"), ("SB1", "two", "")]
+    assert len({r["chunk_id"] for r in rows}) == 3
+    assert written == [("texts", "true"), ("texts", "true"), ("chosen-texts", "true")]
+    assert spark.conf.get(freed) == "false"
+
+
+def test_joins_below_the_feeds_go_once_they_are_taken_in(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    feeds.write_lines(t, "supplied")
+    rows, files = t.made("supplied", lambda: None).count(), t.made("supplied", lambda: None).inputFiles()
+    feeds.drop_lines(t, "supplied")
+    assert files and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
+    assert feeds.supplied(t).count() == rows  # made anew from the tables
+
+
+def test_bulletins_are_typed_where_they_lie(spark, house, monkeypatch):
+    asked, really = [], catalog.rebuild
+
+    def watched(df, table, partition_by=None, dealt=False):
+        asked.append((table, partition_by, dealt))
+        return really(df, table, partition_by, dealt)
+
+    monkeypatch.setattr(warehouse, "rebuild", watched)
+    before = _rows_of(house, "silver_tsbs")
+    house.build_typed()
+    assert ("fleet.silver_tsbs", "bulletin_year", True) in asked
+    assert _rows_of(house, "silver_tsbs") == before
+
+
+def _rows_of(house, table):
+    return sorted(map(str, house.table(table).drop("_silver_at").collect()))
+
+
 def test_comments_and_contract(spark, house):
     assert house.comment() == 25
     described = {r["col_name"]: r["comment"] for r in spark.sql("DESCRIBE fleet.dim_vehicle").collect()}
